@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.views import CTES, Views
 
 JOBS: dict = {}
-SQL: dict[str, str] = {}
+_BODIES: dict[str, tuple[str, str]] = {}
 
 
 def _spec(spec: str):
@@ -67,15 +67,20 @@ def _sql_project(spec: str) -> str:
     return ", ".join(out)
 
 
+_SOURCE = re.compile(r"(?:\bfrom|\bjoin|,)\s+([a-z_0-9]+)", re.IGNORECASE)
+
+
 def _with_ctes(body: str, spec: str) -> str:
+    """The body behind the shared views it reads, each listed after the views it needs itself."""
     needed: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str):
-        for word in dict.fromkeys(re.findall(r"[a-z_0-9]+", text)):
-            if word in CTES and word not in needed:
+        for word in dict.fromkeys(_SOURCE.findall(text)):
+            if word in CTES and word not in seen:
+                seen.add(word)
                 visit(CTES[word])
-                if word not in needed:
-                    needed.append(word)
+                needed.append(word)
 
     visit(body)
     parts = [f"{n} AS ({CTES[n]})" for n in needed] + [f"answer AS ({body})"]
@@ -95,6 +100,11 @@ def query(name: str, spec: str, sql: str | None = None):
         run.__name__ = name
         JOBS[name] = run
         if sql is not None:
-            SQL[name] = _with_ctes(sql, spec)
+            _BODIES[name] = (sql, spec)
         return fn
     return register
+
+
+def oracle_texts() -> dict[str, str]:
+    """Complete SQL of every query that has one, built once all views are known."""
+    return {name: _with_ctes(body, spec) for name, (body, spec) in _BODIES.items()}

@@ -11,7 +11,7 @@ MIN_MEDIAN_DOLLAR_VOLUME = 5_000_000.0
 MIN_PRIOR_SESSIONS = 126
 
 # Vendor security-type codes and the type they stand for.
-SECURITY_TYPES = {"CS": "common_stock", "ADRC": "adr", "ETF": "etf", "FUND": "fund"}
+SECURITY_TYPES = {"CS": "common_stock", "ADRC": "adr", "ADRP": "adr", "GDR": "adr"}
 
 # Forward labels: sessions ahead -> absolute benchmark-relative move that counts.
 SWING_THRESHOLDS = {1: 0.10, 5: 0.15}
