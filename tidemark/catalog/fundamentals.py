@@ -205,7 +205,7 @@ def _(v):
 @view("growths", """
 SELECT entity, points, least(8, greatest(0, coalesce(list_median(g[greatest(1, len(g)-4):])*100, 0))) AS base_growth, list_median(ps[greatest(1, len(ps)-2):]) AS recent_median FROM (
  SELECT entity, count(*) AS points, list(g ORDER BY year) FILTER (WHERE g IS NOT NULL) AS g, list(per_share ORDER BY year) AS ps FROM (
-  SELECT *, least(0.5, greatest(-0.5, pow(per_share/lag(per_share) OVER w, 1e0/(year-lag(year) OVER w))-1)) AS g FROM annuals WINDOW w AS (PARTITION BY entity ORDER BY year)) GROUP BY 1)""")
+  SELECT *, CASE WHEN lag(year) OVER w IS NOT NULL THEN least(0.5, greatest(-0.5, pow(per_share/lag(per_share) OVER w, 1e0/(year-lag(year) OVER w))-1)) END AS g FROM annuals WINDOW w AS (PARTITION BY entity ORDER BY year)) GROUP BY 1)""")
 def _growths(v):
     return fu.growth_anchor(v.annuals)
 
