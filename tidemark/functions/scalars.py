@@ -185,7 +185,7 @@ def utc_clean(col) -> Column:
 
 def canonical(*cols) -> Column:
     """Stable text of typed fields: name-free, separator and NULL marked, so equal rows always hash equal."""
-    return F.concat_ws("\x1f", *[F.coalesce(_c(c).cast("string"), F.lit("\x00")) for c in cols])
+    return F.concat_ws("\x1f", *[F.coalesce(_c(c).cast("string"), F.lit("\\N")) for c in cols])
 
 
 def content_address(*cols) -> Column:
