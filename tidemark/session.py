@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,3 +38,11 @@ def reliable_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only after counting at most ``max_rows + 1`` rows; a bigger side keeps the planner's shuffle join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder for intermediate files: under the cluster's shared checkpoint folder, or under /tmp in a local test."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")

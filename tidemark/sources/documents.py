@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,18 +16,20 @@ def explode_positions(reports: DataFrame, key="report_id", positions="positions"
     return reports.select(key, F.posexplode(positions).alias("ordinal", "p")).select(key, "ordinal", "p.*")
 
 
-_GROUPED = T.StructType([
-    T.StructField("session_date", T.StringType()), T.StructField("adjusted", T.BooleanType()), T.StructField("fetched_at", T.StringType()), T.StructField("raw_sha256", T.StringType()),
-    T.StructField("results", T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (
-        ("T", T.StringType()), ("o", T.DoubleType()), ("h", T.DoubleType()), ("l", T.DoubleType()), ("c", T.DoubleType()), ("v", T.DoubleType()), ("vw", T.DoubleType()), ("n", T.LongType()), ("t", T.LongType()))])))])
+# The rows of a grouped-daily file have keys that differ only in case (T and t), so they are read as maps.
+_GROUPED = "session_date STRING, adjusted BOOLEAN, fetched_at STRING, raw_sha256 STRING, results ARRAY<MAP<STRING, STRING>>"
 
 
 def load_bars_json(spark: SparkSession, path: str) -> DataFrame:
     """Grouped-daily files to bars: tickers upper-cased, blank ones dropped, the latest fetch of a key wins."""
     raw = spark.read.schema(_GROUPED).json(path)
     rows = raw.select(F.to_date("session_date").alias("session_date"), "adjusted", F.try_to_timestamp("fetched_at").alias("fetched_at"), "raw_sha256", F.explode("results").alias("r"))
-    rows = rows.select("session_date", symbol("r.T").alias("ticker"), F.col("r.o").alias("open"), F.col("r.h").alias("high"), F.col("r.l").alias("low"), F.col("r.c").alias("close"), F.col("r.v").alias("volume"),
-                       F.col("r.vw").alias("volume_weighted"), F.col("r.n").alias("trades"), F.col("r.t").alias("window_start_ms"), "adjusted", "fetched_at", "raw_sha256").filter("ticker IS NOT NULL")
+
+    def at(k):
+        return F.try_element_at("r", F.lit(k))
+    numbers = {"open": "o", "high": "h", "low": "l", "close": "c", "volume": "v", "volume_weighted": "vw"}
+    rows = rows.select("session_date", symbol(at("T")).alias("ticker"), *[finite(at(k)).alias(n) for n, k in numbers.items()], at("n").try_cast("bigint").alias("trades"),
+                       at("t").try_cast("bigint").alias("window_start_ms"), "adjusted", "fetched_at", "raw_sha256").filter("ticker IS NOT NULL")
     rest = [c for c in rows.columns if c not in ("session_date", "ticker")]
     return rows.groupBy("session_date", "ticker").agg(F.max_by(F.struct(*rest), "fetched_at").alias("b")).select("session_date", "ticker", "b.*")
 
