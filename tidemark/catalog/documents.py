@@ -32,9 +32,9 @@ _METRIC = ["revenue", "adjusted eps", "gross margin", "capex", "free cash flow",
 
 @view("guide_src", """
 SELECT o_orderkey AS k, 'I' || o_custkey AS issuer, CAST(o_orderdate AS TIMESTAMP) AS published_at, list_extract(['revenue','adjusted eps','gross margin','capex','free cash flow','organic revenue'], CAST(o_orderkey % 6 + 1 AS BIGINT)) AS metric,
- 2020 + o_orderkey % 3 AS y, CAST(o_totalprice AS BIGINT) % 850 + 100 AS lo, CAST(o_totalprice AS BIGINT) % 850 + 100 + o_orderkey % 40 AS hi FROM orders""")
+ 2020 + o_orderkey % 3 AS y, CAST(floor(o_totalprice) AS BIGINT) % 850 + 100 AS lo, CAST(floor(o_totalprice) AS BIGINT) % 850 + 100 + o_orderkey % 40 AS hi FROM orders""")
 def _guide_src(v):
-    k, n = F.col("o_orderkey"), F.round("o_totalprice").cast("bigint") % 850 + 100
+    k, n = F.col("o_orderkey"), F.floor("o_totalprice") % 850 + 100
     return v.table("orders").select(k.alias("k"), F.concat(F.lit("I"), F.col("o_custkey").cast("string")).alias("issuer"), F.col("o_orderdate").cast("timestamp").alias("published_at"),
                                     F.get(F.array(*[F.lit(m) for m in _METRIC]), (k % 6).cast("int")).alias("metric"), (2020 + k % 3).alias("y"), n.alias("lo"), (n + k % 40).alias("hi"))
 

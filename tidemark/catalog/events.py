@@ -314,7 +314,7 @@ def _(v):
 
 def _blend(t):
     return f"""CASE WHEN c.{t} IS NULL THEN round(o.own_{t},4) WHEN o.own_{t} IS NULL THEN round(c.{t},4)
- ELSE round(round(c.{t},4)*(1-least(0.5e0, own_sessions/(own_sessions+250e0))) + round(o.own_{t},4)*least(0.5e0, own_sessions/(own_sessions+250e0)), 4) END AS chance_{t}"""
+ ELSE round(round(c.{t},4)*(1-least(0.5e0, own_sessions/(own_sessions+250e0))) + round(o.own_{t},4)*least(0.5e0, own_sessions/(own_sessions+250e0)) + 1e-9, 4) END AS chance_{t}"""
 
 
 @view("candidates", f"""
@@ -326,7 +326,7 @@ def _candidates(v):
     return radar.weekly_candidates(v.calm_hist, v.announced, F.lit(TODAY).cast("date"))
 
 
-CAND = "ticker:s as_of:d band:s results_due:b expected_date:d sessions:l own_sessions:l chance_t3:f3 chance_t5:f3 chance_t7_5:f3 chance_t10:f3 volume_build:f2 volatility:f"
+CAND = "ticker:s as_of:d band:s results_due:b expected_date:d sessions:l own_sessions:l chance_t3:f4 chance_t5:f4 chance_t7_5:f4 chance_t10:f4 volume_build:f2 volatility:f"
 
 
 @query("weekly_candidates", CAND, "SELECT * FROM candidates")
@@ -339,7 +339,7 @@ def _(v):
     return radar.shortlist(v.candidates)
 
 
-@query("ranking", "ticker:s rank:l chance_t10:f3", "SELECT ticker, row_number() OVER (ORDER BY chance_t10 DESC, ticker) AS rank, chance_t10 FROM candidates")
+@query("ranking", "ticker:s rank:l chance_t10:f4", "SELECT ticker, row_number() OVER (ORDER BY chance_t10 DESC, ticker) AS rank, chance_t10 FROM candidates")
 def _(v):
     from tidemark.operators.sets import global_position
     ranked = global_position(v.candidates.select("ticker", "chance_t10", (-F.col("chance_t10")).alias("_o")), ["_o", "ticker"], "rank")

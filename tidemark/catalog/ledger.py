@@ -271,7 +271,7 @@ _OCR = "2001-06-30 23:00:00"
 @view("oc_facts", f"""
 SELECT m.*, f.delisted_on, CASE f.n % 15 WHEN 0 THEN 'cash' WHEN 5 THEN 'stock' ELSE 'mixed' END AS kind, f.n, f.n IS NOT NULL AND f.n % 20 <> 15 AS has_event, CASE WHEN f.n % 35 = 0 AND f.n > 0 THEN f.delisted_on + 1 ELSE f.delisted_on END AS effective_on,
  (SELECT min(session_date) FROM oc_cal c WHERE c.session_date > m.decision_date AND c.session_date <= DATE '2001-06-30') AS d0, least(coalesce(f.delisted_on, l.last), l.last) AS dend, l.last,
- (SELECT min(session_date) FROM oc_cal c WHERE c.session_date >= m.decision_date + 365 AND c.session_date <= DATE '2001-06-30') AS due
+ (SELECT min(session_date) FROM oc_cal c WHERE c.session_date >= greatest(m.decision_date + 365, coalesce(f.delisted_on + 1, m.decision_date)) AND c.session_date <= DATE '2001-06-30') AS due
 FROM oc_members m LEFT JOIN oc_off f ON f.security_id = m.security_id, (SELECT max(session_date) AS last FROM oc_cal WHERE session_date <= DATE '2001-06-30') l""")
 def _oc_facts(v):
     return v.oc_members
@@ -384,7 +384,7 @@ def _fund_docs(v):
 
 @query("append_holdings", "document_id:l verdict:s why:s reporting_lag:l", f"""
 SELECT document_id, CASE WHEN len(p) > 0 THEN 'invalid' ELSE 'recorded' END AS verdict, array_to_string(p, ';') AS why, 41 - k % 50 AS reporting_lag FROM (SELECT *, {_list([("k % 23 = 0", "identity"), ("k % 50 > 40", "published before as-of"), ("k % 31 = 0", "no reported total"),
- ("k % 3 <> 0 AND amends IS NULL", "changed without amendment"), ("amends IS NOT NULL AND amends > (SELECT max(o_orderkey) FROM orders)", "unknown parent")])} AS p FROM (SELECT *, document_id AS k FROM fund_docs))""")
+ ("k % 3 <> 0 AND source_hash <> 'H' || substr(source_record, 2) AND amends IS NULL", "changed without amendment"), ("amends IS NOT NULL AND amends > (SELECT max(o_orderkey) FROM orders)", "unknown parent")])} AS p FROM (SELECT *, document_id AS k FROM fund_docs))""")
 def _(v):
     k = F.col("o_orderkey")
     reports = v.table("orders").select(k.alias("document_id"), F.when(k % 23 != 0, F.lit("F")).alias("fund_id"), F.lit("S").alias("share_class_id"), F.date_add(F.to_date("o_orderdate"), (k % 50).cast("int")).alias("as_of"),

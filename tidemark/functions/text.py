@@ -78,6 +78,13 @@ MIDPOINT = rf"(?i)\bmidpoint(?:\s+of|\s+is)?\s*{VALUE}"
 COMPARABLE = ["metric", "definition", "period_type", "year", "quarter", "unit", "currency"]
 
 
+def once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add columns that are computed exactly once per row. The optimizer would otherwise copy a pattern into every place
+    that reads one of its fields; a one-element generator keeps it where it is."""
+    cells = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("_once")
+    return df.select(*df.columns, cells).select(*df.columns, "_once.*")
+
+
 def statements(col) -> Column:
     return F.filter(F.split(F.regexp_replace(col, r"\s+", " "), r"(?<=[.;])\s+|\s+[•|]\s+"), lambda s: s != "")
 
@@ -104,15 +111,20 @@ def _period(s: Column) -> Column:
             .when(s.rlike(SHORT_QUARTER), F.struct(F.lit("fiscal_quarter").alias("type"), group(SHORT_QUARTER, 2).alias("year"), group(SHORT_QUARTER, 1).alias("quarter"))))
 
 
-def _value(s: Column, pattern: str, base: int) -> Column:
-    """(value, unit, currency) of five consecutive groups; a bare dollar or yen sign names no currency."""
-    sign, number, scale, percent, code = (F.regexp_extract(s, pattern, base + i) for i in range(5))
-    amount = F.regexp_replace(number, ",", "").try_cast("double")
-    factor = F.when(F.lower(scale) == "thousand", 1e3).when(F.lower(scale) == "million", 1e6).when(F.lower(scale) == "billion", 1e9).otherwise(1.0)
-    present = F.array_distinct(F.transform(F.regexp_extract_all(s, F.lit(rf"(?i)\b({CODES})\b"), F.lit(1)), lambda x: F.upper(x)))
-    currency = F.coalesce(F.when(sign == "€", "EUR").when(sign == "£", "GBP"), F.nullif(F.upper(code), F.lit("")), F.when(F.size(present) == 1, F.get(present, F.lit(0))))
-    pct = percent != ""
-    return F.struct(F.when(pct, amount).otherwise(amount * factor).alias("value"), F.when(pct, "percent").when(currency.isNotNull() | (sign != ""), "currency").otherwise("number").alias("unit"),
+def _groups(s: Column, pattern: str, base: int) -> Column:
+    return F.struct(*[F.regexp_extract(s, pattern, base + i).alias(n) for i, n in enumerate(("sign", "number", "scale", "percent", "code"))])
+
+
+def _value(g: str, present: str = "_codes") -> Column:
+    """(value, unit, currency) of extracted groups; a bare dollar or yen sign names no currency."""
+    def part(n):
+        return F.col(f"{g}.{n}")
+    amount = F.regexp_replace(part("number"), ",", "").try_cast("double")
+    scale = F.lower(part("scale"))
+    factor = F.when(scale == "thousand", 1e3).when(scale == "million", 1e6).when(scale == "billion", 1e9).otherwise(1.0)
+    currency = F.coalesce(F.when(part("sign") == "€", "EUR").when(part("sign") == "£", "GBP"), F.nullif(F.upper(part("code")), F.lit("")), F.when(F.size(present) == 1, F.get(present, F.lit(0))))
+    pct = part("percent") != ""
+    return F.struct(F.when(pct, amount).otherwise(amount * factor).alias("value"), F.when(pct, "percent").when(currency.isNotNull() | (part("sign") != ""), "currency").otherwise("number").alias("unit"),
                     F.when(~pct, currency).alias("currency"))
 
 
@@ -122,11 +134,12 @@ def extract_guidance(documents: DataFrame, text="text", key: list[str] | None =
     ``documents`` should only hold sources whose authority and publication time were checked.
     """
     key = key or [c for c in documents.columns if c != text]
-    s = documents.select(*key, F.explode(statements(F.col(text))).alias("statement"))
-    s = s.withColumn("_m", _metric(F.col("statement"))).filter(F.col("_m").isNotNull() & ~F.col("_m.qualified") & F.col("statement").rlike(OUTLOOK))
     c = F.col("statement")
-    s = s.withColumn("_p", _period(c)).withColumn("_has", c.rlike(RANGE)).withColumn("_lo", _value(c, RANGE, 1)).withColumn("_hi", _value(c, RANGE, 6))
-    s = s.withColumn("_mid", F.when(c.rlike(MIDPOINT), _value(c, MIDPOINT, 1)))
+    s = documents.select(*key, F.explode(statements(F.col(text))).alias("statement")).filter(c.rlike(OUTLOOK))
+    s = once(s, _m=_metric(c)).filter(F.col("_m").isNotNull() & ~F.col("_m.qualified"))
+    codes = F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(rf"(?i)\b({CODES})\b"), F.lit(1)), lambda x: F.upper(x)))
+    s = once(s, _p=_period(c), _gl=_groups(c, RANGE, 1), _gh=_groups(c, RANGE, 6), _gm=_groups(c, MIDPOINT, 1), _codes=codes)
+    s = s.withColumn("_has", F.col("_gl.number") != "").withColumn("_lo", _value("_gl")).withColumn("_hi", _value("_gh")).withColumn("_mid", F.when(F.col("_gm.number") != "", _value("_gm")))
     same = (F.col("_lo.unit") == F.col("_hi.unit")) & F.col("_lo.currency").eqNullSafe(F.col("_hi.currency")) & (F.col("_lo.value") <= F.col("_hi.value"))
     named = (F.col("_lo.unit") != "currency") | F.col("_lo.currency").isNotNull()
     middle = F.col("_mid").isNull() | ((F.col("_mid.unit") == F.col("_lo.unit")) & F.col("_mid.currency").eqNullSafe(F.col("_lo.currency")) & F.col("_mid.value").between(F.col("_lo.value"), F.col("_hi.value")))
@@ -208,8 +221,7 @@ def terminal_terms(documents: DataFrame, text="text", target="target_id") -> Dat
     cash = F.transform(amounts, lambda r: F.struct(F.regexp_replace(F.coalesce(F.nullif(r["a"], F.lit("")), r["d"]), ",", "").try_cast("double").alias("amount"), _code(F.coalesce(F.nullif(r["b"], F.lit("")), r["c"])).alias("currency")))
     cash = F.array_distinct(F.filter(cash, lambda r: (r["amount"] > 0) & r["currency"].isNotNull()))
     ratios = _values(F.transform(_all(x, STOCK, 1), lambda v: F.regexp_replace(v, ",", "").try_cast("double")))
-    d = (d.withColumn("_dates", dates).withColumn("_cash", cash).withColumn("_ratios", ratios).withColumn("_succ", _values(F.transform(_all(x, SUCCESSOR, 1), identifier)))
-         .withColumn("_targets", _values(F.transform(_all(x, TARGET, 1), identifier))).withColumn("_amends", F.array_distinct(_all(x, AMENDS, 1))))
+    d = once(d, _dates=dates, _cash=cash, _ratios=ratios, _succ=_values(F.transform(_all(x, SUCCESSOR, 1), identifier)), _targets=_values(F.transform(_all(x, TARGET, 1), identifier)), _amends=F.array_distinct(_all(x, AMENDS, 1)))
     one_cash, one_ratio = F.get("_cash", F.lit(0)), F.get("_ratios", F.lit(0))
     nature = F.when(x.rlike(MERGER), "merger").when(x.rlike(DELISTING), "delisting")
     own = identifier(F.col(target))

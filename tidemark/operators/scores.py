@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark import policy
 from tidemark.functions import clip_probability, logit
-from tidemark.session import reliable_checkpoint
+from tidemark.session import broadcast_within, reliable_checkpoint
 
 
 def brier_terms(p="p", y="label") -> dict[str, Column]:
@@ -108,10 +108,10 @@ def calibration_slope(df: DataFrame, p="p", y="label", max_steps: int = 200, sma
     return spark.createDataFrame([(b, a, size["n"])], schema)
 
 
-def draw_index(seed: int, replicate: Column, slot: Column, n: Column) -> Column:
-    """Reproducible draw in [0, n): the first 32 bits of an MD5 of (seed, replicate, slot)."""
+def draw_digest(seed: int, replicate: Column, slot: Column) -> Column:
+    """Reproducible draw before the modulus: the first 32 bits of an MD5 of (seed, replicate, slot)."""
     text = F.concat_ws("-", F.lit(str(seed)), replicate.cast("string"), slot.cast("string"))
-    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), n)
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, num: Column, den: Column, samples: int = policy.BOOTSTRAP_SAMPLES,
@@ -126,11 +126,12 @@ def cluster_bootstrap(df: DataFrame, cluster: str, num: Column, den: Column, sam
     sums = df.groupBy(*by, cluster).agg(F.sum(num).alias("_num"), F.sum(den).alias("_den"))
     sums = reliable_checkpoint(sums.withColumn("_slot", F.row_number().over(group.orderBy(cluster)) - 1)
                                .withColumn("_n", F.count(F.lit(1)).over(group)))
-    draws = (sums.filter("_n >= 3").select(*by, "_slot", "_n", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_rep"))
-             .select(*by, "_rep", draw_index(seed, F.col("_rep"), F.col("_slot"), F.col("_n")).alias("_slot")))
-    est = (draws.groupBy(*by, "_rep", "_slot").agg(F.count(F.lit(1)).alias("_k"))
-           .join(sums.select(*by, "_slot", "_num", "_den"), [*by, "_slot"])
-           .groupBy(*by, "_rep").agg((F.sum(F.col("_k") * F.col("_num")) / F.nullif(F.sum(F.col("_k") * F.col("_den")), F.lit(0.0))).alias("_e")))
+    # The digest of (replicate, slot) does not depend on the group, so it is taken once per slot for all groups.
+    digests = sums.select("_slot").distinct().withColumn("_h", F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda r: draw_digest(seed, r, F.col("_slot"))))
+    draws = (sums.filter("_n >= 3").select(*by, "_slot", "_n").join(broadcast_within(digests, 20_000), "_slot").select(*by, "_n", F.posexplode("_h").alias("_rep", "_x"))
+             .select(*by, "_rep", F.pmod("_x", "_n").alias("_slot")))
+    est = (draws.join(broadcast_within(sums.select(*by, "_slot", "_num", "_den"), 1_000_000), [*by, "_slot"])
+           .groupBy(*by, "_rep").agg((F.sum("_num") / F.nullif(F.sum("_den"), F.lit(0.0))).alias("_e")))
     ordered = est.filter(F.col("_e").isNotNull() & ~F.isnan("_e")).groupBy(*by).agg(F.sort_array(F.collect_list("_e")).alias("_a"))
     m = F.size("_a")
 

@@ -57,10 +57,11 @@ def weekly_candidates(hist: DataFrame, announcements: DataFrame, today: Column)
     rows = rows.join(cohort_rates(frame), ["results_due", "band"], "left").join(own_rates(frame), "ticker", "left")
     own = F.coalesce("own_sessions", F.lit(0))
     weight = F.least(F.lit(0.5), own / (own + 250))
+    # At full weight a blend of two four-place rates ends in an exact half; the small addend settles it upwards.
     for name in TIERS:
         cohort, mine = F.round(name, 4), F.round(f"own_{name}", 4)
         rows = rows.withColumn(f"chance_{name}", F.when(cohort.isNull(), mine).when(mine.isNull(), cohort)
-                               .otherwise(F.round(cohort * (1 - weight) + mine * weight, 4)))
+                               .otherwise(F.round(cohort * (1 - weight) + mine * weight + 1e-9, 4)))
     return (rows.filter("chance_t10 IS NOT NULL")
             .withColumn("volume_build", F.nullif(F.round("volume_build", 3), F.lit(0.0)))
             .select("ticker", F.col("session_date").alias("as_of"), *[f"chance_{t}" for t in TIERS], "band", "results_due", "volume_build",
