@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from tidemark.session import build_session
@@ -23,6 +24,7 @@ def main():
     times = {}
     for name in HEADLINE:
         start = time.perf_counter()
+        print(name, file=sys.stderr, flush=True)
         JOBS[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))

@@ -9,7 +9,7 @@ from tidemark.catalog.views import view
 from tidemark.functions import text
 from tidemark.functions.scalars import company_key, domain_allowed, friday_on_or_after, next_weekday, rating_direction, sentences, session_cutoff, signed_log10, squeeze, stable_id, verdict
 from tidemark.operators import league
-from tidemark.session import scratch_dir
+from tidemark.session import scratch_dir, spread
 from tidemark.sources import documents as doc, filings
 from tidemark.streaming import streams
 
@@ -22,7 +22,7 @@ for _e, _c in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("copy",
 SELECT page_id, trim(regexp_replace({_DEC.replace("html2", "(" + _DEC + ")")}, '\s+', ' ', 'g')) AS text FROM (
  SELECT page_id, regexp_replace(html, '(?is)<script[^>]*>(.*?)</script\s*>|<style[^>]*>(.*?)</style\s*>|<!--.*?-->|<[/!?a-zA-Z][^>]*>', ' \1\2 ', 'g') AS html2 FROM pages)""")
 def _(v):
-    return v.table("pages").select("page_id", text.html_to_text("html").alias("text"))
+    return spread(v.table("pages")).select("page_id", text.html_to_text("html").alias("text"))
 
 
 # --- guidance --------------------------------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import canonical
+from tidemark.session import spread
 
 # --- visible text ----------------------------------------------------------------------------------------------------
 
@@ -135,7 +136,7 @@ def extract_guidance(documents: DataFrame, text="text", key: list[str] | None =
     """
     key = key or [c for c in documents.columns if c != text]
     c = F.col("statement")
-    s = documents.select(*key, F.explode(statements(F.col(text))).alias("statement")).filter(c.rlike(OUTLOOK))
+    s = spread(documents).select(*key, F.explode(statements(F.col(text))).alias("statement")).filter(c.rlike(OUTLOOK))
     s = once(s, _m=_metric(c)).filter(F.col("_m").isNotNull() & ~F.col("_m.qualified"))
     codes = F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(rf"(?i)\b({CODES})\b"), F.lit(1)), lambda x: F.upper(x)))
     s = once(s, _p=_period(c), _gl=_groups(c, RANGE, 1), _gh=_groups(c, RANGE, 6), _gm=_groups(c, MIDPOINT, 1), _codes=codes)
@@ -213,7 +214,7 @@ def _values(a: Column) -> Column:
 def terminal_terms(documents: DataFrame, text="text", target="target_id") -> DataFrame:
     """Merger or delisting terms, accepted only when every term has exactly one distinct value; else the reason why not."""
     t = F.regexp_replace(F.col(text), r"\s+", " ")
-    d = documents.withColumn("_t", F.trim(t))
+    d = spread(documents).withColumn("_t", F.trim(t))
     x = F.col("_t")
     dates = F.concat(_all(x, EFFECTIVE[0], 1), _all(x, EFFECTIVE[1], 1))
     dates = _values(F.transform(dates, lambda v: F.coalesce(F.to_date(F.try_to_timestamp(v, F.lit("yyyy-MM-dd"))), F.to_date(F.try_to_timestamp(F.initcap(F.regexp_replace(v, r"\s+", " ")), F.lit("MMMM d, yyyy"))))))

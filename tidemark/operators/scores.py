@@ -128,7 +128,9 @@ def cluster_bootstrap(df: DataFrame, cluster: str, num: Column, den: Column, sam
                                .withColumn("_n", F.count(F.lit(1)).over(group)))
     # The digest of (replicate, slot) does not depend on the group, so it is taken once per slot for all groups.
     digests = sums.select("_slot").distinct().withColumn("_h", F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda r: draw_digest(seed, r, F.col("_slot"))))
-    draws = (sums.filter("_n >= 3").select(*by, "_slot", "_n").join(broadcast_within(digests, 20_000), "_slot").select(*by, "_n", F.posexplode("_h").alias("_rep", "_x"))
+    # The sums are few bytes but each row becomes ``samples`` draws, so they are spread over all cores explicitly.
+    wide = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    draws = (sums.filter("_n >= 3").select(*by, "_slot", "_n").repartition(wide).join(broadcast_within(digests, 20_000), "_slot").select(*by, "_n", F.posexplode("_h").alias("_rep", "_x"))
              .select(*by, "_rep", F.pmod("_x", "_n").alias("_slot")))
     est = (draws.join(broadcast_within(sums.select(*by, "_slot", "_num", "_den"), 1_000_000), [*by, "_slot"])
            .groupBy(*by, "_rep").agg((F.sum("_num") / F.nullif(F.sum("_den"), F.lit(0.0))).alias("_e")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -17,7 +18,8 @@ def build_session(master: str | None = None, app: str = "tidemark", shuffle_part
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        # A local master runs everything in the driver's JVM, whose default heap is far too small for that.
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
@@ -46,3 +48,10 @@ def scratch_dir(spark: SparkSession) -> str:
     if shared:
         return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores before per-row work that is heavy on the processor. A table of many
+    files already has enough splits and is returned as it is, without a shuffle."""
+    wide = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wide) if df.rdd.getNumPartitions() < wide else df
