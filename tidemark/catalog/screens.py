@@ -152,10 +152,10 @@ SELECT user_id AS case_id, event_id AS item, ts AS published_at, CASE least(3, C
   CASE WHEN user_id % 5 = 0 THEN 'approved' ELSE 'closed' END AS declared_stage FROM events""")
 def _timeline(v):
     e = v.table("events")
-    top = e.agg((F.max("event_id") + 1).alias("top"))
+    top = e.agg(F.max("event_id") + 1).scalar()
     k, u = F.col("event_id"), F.col("user_id")
     pos = F.least(F.lit(3), F.floor(k * 1.0 / F.col("top") * 4 + F.when((u % 3 == 0) & (k % 7 == 0), -1).otherwise(0)))
-    return (e.join(F.broadcast(top), F.col("top") > 0).withColumn("pos", pos).select(
+    return (e.withColumn("top", top).withColumn("pos", pos).select(
         u.alias("case_id"), k.alias("item"), F.col("ts").cast("timestamp").alias("published_at"),
         F.when(F.col("pos") == 1, "filed").when(F.col("pos") == 2, "approved").when(F.col("pos") == 3, "closed")
         .otherwise("rumour").alias("stage"), (F.col("value") > 5).alias("verified"),
@@ -269,8 +269,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DES
 WHERE rank <= 20 AND ts >= newest - INTERVAL 3 DAY""")
 def _(v):
     e = v.table("events")
-    last = F.broadcast(e.agg(F.max("ts").alias("newest")))
-    recent = e.join(last, F.col("ts") >= F.col("newest") - F.expr("interval 3 days")).drop("newest")
+    newest = e.agg(F.max("ts")).scalar()
+    recent = e.filter(F.col("ts") >= newest - F.expr("interval 3 days"))
     return sets.latest_n_per_key(recent, ["user_id"], [F.desc("ts"), F.desc("event_id")], 20)
 
 
