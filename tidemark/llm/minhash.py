@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, U64, buffers, mix, shingle_hashes, slices, span_hashes, stored, with_row_batches, words
+from tidemark.llm.common import LOWER, U64, buffers, mix, shingle_hashes, slices, span_hashes, stored, unsigned_crc, with_row_batches, words
 from tidemark.llm.components import components
 
 PERMUTATIONS, ROWS, SEED = 48, 4, 20240611
@@ -87,8 +87,8 @@ def _describe(shingle: int):
                     found = band_keys(signatures(sets, np.append(bounds[:-1][full], len(sets)), multipliers)).view(np.int64)
                     for i, row in zip(full, found):
                         keys[i] = row
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, z - a), pa.array(sizes), pa.array(digests(sets, bounds), pa.binary()),
-                                                  pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "class", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, z - a), batch.column("text_crc32").slice(a, z - a), pa.array(sizes), pa.array(digests(sets, bounds), pa.binary()),
+                                                  pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_crc32", "n", "class", "bands"])
     return describe
 
 
@@ -132,9 +132,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept."""
-    docs = with_row_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    rows = stored(docs.mapInArrow(_describe(shingle), "doc_id long, n long, class binary, bands array<long>"))
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept, and the checksum of the text."""
+    docs = with_row_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", unsigned_crc(F.col("text")).alias("text_crc32")))
+    rows = stored(docs.mapInArrow(_describe(shingle), "doc_id long, text_crc32 long, n long, class binary, bands array<long>"))
     classes = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     members = classes.select(F.explode("bands").alias("band"), "class", "rep", "n")
     shared = members.groupBy("band").agg(F.min("class").alias("a"), F.max("class").alias("z"), F.min_by("n", "class").alias("an")).where("a < z")
@@ -160,6 +160,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     named = named.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("rep").alias("least"))
     named = named.join(least, "root").select("class", "least")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
+    out = rows.select("doc_id", "text_crc32", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_crc32")

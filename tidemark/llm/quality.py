@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     return Model(counts, np.array([r["quality"] for r in rows]))
 
 
-def _scorer(shared, names: list[str]):
+def _scorer(shared, names: list[str], score_name: str):
     def score(batches):
         model = shared.value
         for batch in batches:
@@ -131,14 +131,14 @@ def _scorer(shared, names: list[str]):
                     hi = min(z, lo + 256)
                     counts = term_counts(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
                     out[lo:hi] = 0.5 if model is None else model.score(counts)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(out)], names + ["score"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(out)], names + [score_name])
     return score
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep_text: bool = False) -> DataFrame:
-    """doc_id (with the text and all other columns if ``keep_text``) and the score of every document."""
+def classify(docs: DataFrame, labels: DataFrame, keep_all: bool = False, name: str = "score") -> DataFrame:
+    """doc_id (or all columns if ``keep_all``) and the score of every document."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    source = docs if keep_text else docs.select("doc_id", "text")
+    source = docs if keep_all else docs.select("doc_id", "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
-    scored = with_row_batches(source).mapInArrow(_scorer(model, source.columns), f"{schema}, score double")
-    return scored if keep_text else scored.drop("text")
+    scored = with_row_batches(source).mapInArrow(_scorer(model, source.columns, name), f"{schema}, `{name}` double")
+    return scored if keep_all else scored.drop("text")

@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import minhash, neighbours, packing, quality, slots, warc
+from tidemark.llm import chunks, decontaminate, lines, minhash, neighbours, packing, quality, slots, substrings, warc
 from tidemark.llm.common import table
 
 
+def op1_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated content-defined chunks removed from all documents."""
+    out = chunks.deduplicate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_chunks", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document contains."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole document by votes of its nearest labelled vectors."""
     scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -34,7 +45,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents on shingles of four words."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80).drop("text_crc32")
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that equal or resemble an earlier one removed from all documents."""
+    out = lines.deduplicate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +59,46 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
 
-JOBS = {f.__name__: f for f in (op3_quality, op4_neighbours, op5_slots, op6_warc, op7_minhash, op9_packing)}
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that repeat 50 bytes of a document before."""
+    out = substrings.deduplicate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+JOBS = {f.__name__: f for f in (op1_chunks, op2_decontaminate, op3_quality, op4_neighbours, op5_slots, op6_warc, op7_minhash, op8_lines, op9_packing, op10_suffixes)}
 
 ORACLES = {
+    "op2_decontaminate": r"""
+WITH words AS (
+  SELECT 0 AS kind, doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents
+  UNION ALL SELECT 1, item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') FROM benchmark WHERE item_id IS NOT NULL),
+runs AS (
+  SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+sizes AS (SELECT id AS item_id, count(*) AS n FROM runs WHERE kind = 1 GROUP BY 1),
+shared AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM runs d JOIN runs i ON d.kind = 0 AND i.kind = 1 AND d.s = i.s GROUP BY 1, 2)
+SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_item_shingles, CAST(n_shared AS BIGINT) AS n_shared, n_shared / n AS containment FROM shared JOIN sizes USING (item_id) WHERE n_shared * 100 >= n * 80""",
+    "op8_lines": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, 1 + len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+t AS (SELECT doc_id, pos, line, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS w FROM l),
+s AS (SELECT w, len(w) AS n, min((doc_id, pos)) AS head, row_number() OVER () AS id FROM t WHERE len(w) >= 8 GROUP BY w),
+e AS (SELECT id, n, unnest(w) AS g FROM s),
+f AS (SELECT g, count(*) AS c FROM e GROUP BY g),
+r AS (SELECT id, n, g, row_number() OVER (PARTITION BY id ORDER BY c, g) AS k FROM e JOIN f USING (g)),
+p AS (SELECT id, n, g FROM r WHERE k <= n - CAST(ceil(80 * n / 100) AS BIGINT) + 1),
+q AS (SELECT DISTINCT a.id AS x, b.id AS y FROM p a JOIN p b ON a.g = b.g AND a.id <> b.id AND 80 * b.n <= 100 * a.n AND 80 * a.n <= 100 * b.n),
+m AS (SELECT x FROM q JOIN s a ON a.id = x JOIN s b ON b.id = y WHERE a.head > b.head AND 100 * len(list_intersect(a.w, b.w)) >= 80 * (a.n + b.n - len(list_intersect(a.w, b.w)))),
+k AS (SELECT t.doc_id, t.pos, t.line, s.id IS NOT NULL AND (s.head <> (t.doc_id, t.pos) OR s.id IN (SELECT x FROM m)) AS gone FROM t LEFT JOIN s ON s.w = t.w AND len(t.w) >= 8)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(gone::INT) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM k GROUP BY doc_id""",
+    "op10_suffixes": """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+b AS (SELECT doc_id, x, n, unnest(range(n)) AS i FROM h),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 2) AS byte, CASE WHEN i + 50 <= n THEN hash(substr(x, 2 * i + 1, 100)) END AS s FROM b),
+f AS (SELECT doc_id, i, byte, s IS NOT NULL AND min(doc_id) OVER (PARTITION BY s) < doc_id AS starts FROM w),
+c AS (SELECT doc_id, i, byte, max(starts::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 1 AS gone FROM f),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+r AS (SELECT doc_id, CAST(sum(gone::INT) AS BIGINT) AS n_removed, CAST(sum(opens::INT) AS BIGINT) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM e GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM h LEFT JOIN r USING (doc_id)""",
     "op4_neighbours": """
 WITH usable AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
