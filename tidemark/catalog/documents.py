@@ -1,7 +1,5 @@
 """Queries over text extraction, document loaders and the streaming jobs. Documents are written from the given tables."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import query
@@ -137,10 +135,10 @@ def _(v):
 # --- scalar functions ------------------------------------------------------------------------------------------------
 
 @query("string_functions", "page_id:l squeezed:s parts:l host_ok:b", r"""
-SELECT page_id, trim(regexp_replace(html[1:200], '\s+', ' ', 'g')) AS squeezed, len(list_filter(string_split_regex(regexp_replace(trim(regexp_replace(url, '\s+', ' ', 'g')), '([.!?;]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS parts,
+SELECT page_id, trim(regexp_replace(html, '\s+', ' ', 'g')) AS squeezed, len(list_filter(string_split_regex(regexp_replace(trim(regexp_replace(url, '\s+', ' ', 'g')), '([.!?;]) ', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS parts,
  regexp_matches(url, '^[a-z]+://([^/?#]*\.)?example\.com([:/?#]|$)') AS host_ok FROM pages""")
 def _(v):
-    return v.table("pages").select("page_id", squeeze(F.substring("html", 1, 200)).alias("squeezed"), F.size(sentences("url")).alias("parts"), domain_allowed("url", ["example.com"]).alias("host_ok"))
+    return v.table("pages").select("page_id", squeeze("html").alias("squeezed"), F.size(sentences("url")).alias("parts"), domain_allowed("url", ["example.com"]).alias("host_ok"))
 
 
 @query("identity_functions", "p_partkey:l security_id:s company:s sector:s", r"""
@@ -262,23 +260,25 @@ def _ticks(v):
 
 @query("stream_snapshots", "symbol:l ts:t price:f", "SELECT user_id AS symbol, ts, value AS price FROM events")
 def _(v):
-    return streams.run_to_memory(streams.stream_snapshots(_ticks(v)), "s" + uuid.uuid4().hex)
+    """Every event arrives twice; each must come out once."""
+    path, ticks = scratch_dir(v.spark), _ticks(v)
+    return streams.run_to_table(streams.stream_snapshots(ticks.unionByName(ticks)), f"{path}/t", f"{path}/cp")
 
 
 @query("stream_sessions", "session_date:d symbol:l open:f high:f low:f last:f ticks:l", """
 SELECT CAST(ts AS DATE) AS session_date, user_id AS symbol, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS last, count(*) AS ticks FROM events GROUP BY 1, 2""")
 def _(v):
-    return streams.run_to_memory(streams.stream_sessions(_ticks(v)), "s" + uuid.uuid4().hex, "complete")
+    path = scratch_dir(v.spark)
+    return streams.run_to_latest(streams.stream_sessions(_ticks(v)), ["session_date", "symbol"], f"{path}/t", f"{path}/cp")
 
 
 @query("stream_append", "event_id:l symbol:l", "SELECT event_id, user_id AS symbol FROM events")
 def _(v):
-    """Two passes over the same events: rows stored by the first pass must not be written by the second."""
+    """Two queries over the same events: what the first one stored stays, and the second one adds only the others."""
     path = scratch_dir(v.spark)
     ticks = _ticks(v).select("event_id", "symbol", "price")
-    streams.start_append(ticks.filter("event_id % 3 = 0"), f"{path}/first", f"{path}/cp1", ["event_id"], ["price"]).awaitTermination()
-    v.spark.read.parquet(f"{path}/first/*").write.parquet(f"{path}/all/batch-earlier")
-    streams.start_append(_ticks(v).select("event_id", "symbol", "price"), f"{path}/all", f"{path}/cp2", ["event_id"], ["price"]).awaitTermination()
+    streams.start_append(ticks.filter("event_id % 3 = 0"), f"{path}/all", f"{path}/cp1", ["event_id"], ["price"]).awaitTermination()
+    streams.start_append(ticks, f"{path}/all", f"{path}/cp2", ["event_id"], ["price"]).awaitTermination()
     return v.spark.read.parquet(f"{path}/all/*")
 
 
@@ -289,7 +289,8 @@ def _(v):
     cases = e.select(F.col("user_id").alias("case_id")).distinct().withColumn("monitor_since", F.timestamp_add("DAY", (F.col("case_id") % 10).cast("int"), F.lit("2024-01-05").cast("timestamp")))
     f = _ticks(v).select(F.col("event_id").alias("accession"), F.col("symbol").alias("case_id"), F.col("event_type").alias("form"), F.col("ts").alias("filed_at"))
     known = e.filter("event_id % 9 = 0").select(F.col("event_id").alias("accession"))
-    return streams.run_to_memory(streams.stream_new_filings(f, known, cases, ["click", "error"]).select("accession", "case_id", "escalated"), "s" + uuid.uuid4().hex)
+    path = scratch_dir(v.spark)
+    return streams.run_to_table(streams.stream_new_filings(f, known, cases, ["click", "error"]).select("accession", "case_id", "escalated"), f"{path}/t", f"{path}/cp")
 
 
 @query("stream_late_evidence", "side:s n:l first_id:l", """
@@ -311,5 +312,6 @@ def _(v):
     q = F.floor(F.col("event_id") * 4 / top)
     p = q - F.when((F.col("event_id") % 7 == 0) & (q > 0), 1).otherwise(0)
     ev = _ticks(v).select(F.col("symbol").alias("case_id"), "ts", F.get(F.array(*[F.lit(s) for s in stages]), p.cast("int")).alias("stage"))
-    r = streams.run_to_memory(streams.stream_case_stage(ev, stages), "s" + uuid.uuid4().hex)
+    path = scratch_dir(v.spark)
+    r = streams.run_to_table(streams.stream_case_stage(ev, stages), f"{path}/t", f"{path}/cp")
     return r.groupBy("case_id").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))

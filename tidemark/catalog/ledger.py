@@ -172,13 +172,14 @@ def _(v):
 # --- snapshots and audit ---------------------------------------------------------------------------------------------
 
 @view("frozen", """
-SELECT l_orderkey AS snapshot_id, CASE WHEN l_suppkey % 11 <> 0 THEN 'CIK:' || l_suppkey END AS security_id, CAST(l_suppkey AS VARCHAR) AS ticker, l_returnflag <> 'N' AS active, CASE WHEN l_linestatus = 'F' OR l_suppkey % 2 = 0 THEN 'verified' ELSE 'open' END AS identity_status,
+SELECT l_orderkey AS snapshot_id, CASE WHEN l_suppkey % 11 <> 0 THEN 'CIK:' || l_suppkey END AS security_id, CAST(l_suppkey AS VARCHAR) AS ticker, CASE WHEN l_suppkey % 13 <> 0 THEN l_returnflag <> 'N' END AS active,
+ CASE WHEN l_linestatus = 'F' THEN 'verified' WHEN l_suppkey % 2 = 0 THEN 'resolved' ELSE 'open' END AS identity_status, l_suppkey % 17 <> 0 AS included,
  l_linenumber % 5 <> 0 AS membership_verified, CAST(min(l_shipdate) AS TIMESTAMP) AS identity_available_at, TIMESTAMP '2000-01-01' AS cutoff FROM lineitem GROUP BY l_orderkey, l_suppkey, l_returnflag, l_linestatus, l_linenumber""")
 def _frozen(v):
     s = F.col("l_suppkey")
     return v.table("lineitem").groupBy("l_orderkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_linenumber").agg(F.min(F.col("l_shipdate").cast("timestamp")).alias("identity_available_at")).select(
-        F.col("l_orderkey").alias("snapshot_id"), F.when(s % 11 != 0, F.concat(F.lit("CIK:"), s.cast("string"))).alias("security_id"), s.cast("string").alias("ticker"), (F.col("l_returnflag") != "N").alias("active"),
-        F.when((F.col("l_linestatus") == "F") | (s % 2 == 0), "verified").otherwise("open").alias("identity_status"), (F.col("l_linenumber") % 5 != 0).alias("membership_verified"), "identity_available_at",
+        F.col("l_orderkey").alias("snapshot_id"), F.when(s % 11 != 0, F.concat(F.lit("CIK:"), s.cast("string"))).alias("security_id"), s.cast("string").alias("ticker"), F.when(s % 13 != 0, F.col("l_returnflag") != "N").alias("active"),
+        F.when(F.col("l_linestatus") == "F", "verified").when(s % 2 == 0, "resolved").otherwise("open").alias("identity_status"), (s % 17 != 0).alias("included"), (F.col("l_linenumber") % 5 != 0).alias("membership_verified"), "identity_available_at",
         F.lit("2000-01-01").cast("timestamp").alias("cutoff"))
 
 
@@ -189,18 +190,21 @@ def _evid(v):
 
 
 _ROOT = "sha256(concat_ws(chr(31), CAST(count(*) AS VARCHAR), " + ", ".join(f"CAST(sum(CAST('0x' || substr(digest, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4)) + "))"
-_WHY = """CASE WHEN security_id IS NULL THEN 'no stable identifier' WHEN identity_status <> 'verified' THEN 'identity not verified' WHEN NOT membership_verified THEN 'membership not verified' WHEN identity_available_at > cutoff THEN 'identity after cutoff' WHEN NOT active THEN 'inactive' END"""
+_WHY = """nullif(concat_ws('; ', CASE WHEN security_id IS NULL THEN 'no stable identifier' END, CASE WHEN security_id IS NULL OR identity_status = 'open' THEN 'identity not verified' END,
+ CASE WHEN active IS NULL THEN 'activity unknown' END, CASE WHEN NOT membership_verified OR identity_available_at > cutoff THEN 'membership not verified' END,
+ CASE WHEN identity_available_at > cutoff THEN 'identity after cutoff' END, CASE WHEN NOT included THEN 'not selected' END), '')"""
 
 
 @view("manifests", f"""
-SELECT *, {canon('snapshot_id', 'members', 'members_root', 'evidence', 'evidence_root')} AS manifest_hash FROM (SELECT m.snapshot_id, members, members_root, included, coalesce(evidence, 0) AS evidence, evidence_root FROM (
- SELECT snapshot_id, count(*) AS members, count(*) FILTER (WHERE included) AS included, {_ROOT} AS members_root FROM (SELECT *, {canon('snapshot_id', 'security_id', 'ticker', 'included', 'exclusion')} AS digest FROM (SELECT *, exclusion IS NULL AS included FROM (SELECT *, {_WHY} AS exclusion FROM frozen))) GROUP BY 1) m
- LEFT JOIN (SELECT snapshot_id, count(*) AS evidence, {_ROOT} AS evidence_root FROM (SELECT *, {canon('snapshot_id', 'security_id', 'payload')} AS digest FROM evid WHERE available_at <= cutoff) GROUP BY 1) e ON e.snapshot_id = m.snapshot_id)""")
+SELECT *, {canon('snapshot_id', 'members', 'members_root', 'evidence', 'evidence_root')} AS manifest_hash FROM (SELECT m.snapshot_id, members, members_root, included, coalesce(evidence, 0) AS evidence, evidence_root, coalesce(late_evidence, 0) AS late_evidence, CASE WHEN late_evidence > 0 THEN 'refused' ELSE 'captured' END AS status FROM (
+ SELECT snapshot_id, count(*) AS members, count(*) FILTER (WHERE included) AS included, {_ROOT} AS members_root FROM (SELECT *, {canon('snapshot_id', 'security_id', 'ticker', 'included', 'exclusion')} AS digest FROM (SELECT * EXCLUDE (included), exclusion IS NULL AS included FROM (SELECT *, {_WHY} AS exclusion FROM frozen))) GROUP BY 1) m
+ LEFT JOIN (SELECT snapshot_id, count(*) AS evidence, {_ROOT} AS evidence_root FROM (SELECT *, {canon('snapshot_id', 'security_id', 'payload')} AS digest FROM evid WHERE available_at <= cutoff) GROUP BY 1) e ON e.snapshot_id = m.snapshot_id
+ LEFT JOIN (SELECT snapshot_id, count(*) AS late_evidence FROM evid WHERE available_at > cutoff GROUP BY 1) x ON x.snapshot_id = m.snapshot_id)""")
 def _manifests(v):
     return lg.capture_snapshot(v.frozen, v.evid)
 
 
-@query("capture_snapshot", "snapshot_id:l members:l included:l evidence:l members_root:s manifest_hash:s", "SELECT * FROM manifests")
+@query("capture_snapshot", "snapshot_id:l members:l included:l evidence:l late_evidence:l status:s members_root:s manifest_hash:s", "SELECT * FROM manifests")
 def _(v):
     return v.manifests
 
@@ -342,9 +346,9 @@ def _(v):
 
 @query("build_protocol", "snapshot_id:l members:l outcomes_complete:l survivorship_free:b required_through:d status:s", """
 SELECT snapshot_id, count(*) AS members, count(*) FILTER (WHERE done) AS outcomes_complete, bool_and(done AND included AND membership_verified) AS survivorship_free, max(req) AS required_through,
- CASE WHEN bool_and(done AND included AND membership_verified) AND max(pol) <> 'P3' THEN 'ready' ELSE 'accumulating' END AS status FROM (
-SELECT f.snapshot_id, true AS membership_verified, l.l_linenumber % 50 <> 49 AS included, s.pol, s.req, coalesce(l.l_returnflag <> 'N' AND ((l.l_returnflag = 'R' AND l.l_suppkey % 2 = 0) OR CAST(l.l_shipdate AS DATE) + 3000 >= s.req), false) AS done FROM (SELECT DISTINCT l_orderkey AS snapshot_id FROM lineitem) f
-JOIN (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, 'P' || o_orderkey % 4 AS pol, greatest(CAST(o_orderdate AS DATE) + 365, max(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_orderkey % 4)) AS req FROM orders) s ON s.o_orderkey = f.snapshot_id
+ CASE WHEN bool_and(done AND included AND membership_verified) AND bool_and(frozen) THEN 'ready' ELSE 'accumulating' END AS status FROM (
+SELECT f.snapshot_id, true AS membership_verified, l.l_linenumber % 50 <> 49 AS included, s.frozen, s.req, coalesce(l.l_returnflag <> 'N' AND ((l.l_returnflag = 'R' AND l.l_suppkey % 2 = 0) OR CAST(l.l_shipdate AS DATE) + 3000 >= s.req), false) AS done FROM (SELECT DISTINCT l_orderkey AS snapshot_id FROM lineitem) f
+JOIN (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, coalesce(CAST(o_orderdate AS DATE) > max(CASE WHEN o_orderkey % 4 = 3 AND o_orderdate < DATE '1998-01-01' THEN CAST(o_orderdate AS DATE) END) OVER (PARTITION BY o_orderkey % 4), true) AS frozen, greatest(CAST(o_orderdate AS DATE) + 365, max(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_orderkey % 4)) AS req FROM orders) s ON s.o_orderkey = f.snapshot_id
 JOIN (SELECT l_orderkey, l_suppkey, min(l_linenumber) AS l_linenumber, arg_max(l_returnflag, (l_shipdate, l_partkey)) AS l_returnflag, arg_max(l_shipdate, (l_shipdate, l_partkey)) AS l_shipdate FROM lineitem GROUP BY 1, 2) l ON l.l_orderkey = f.snapshot_id) GROUP BY 1""")
 def _(v):
     li = v.table("lineitem")
@@ -354,7 +358,7 @@ def _(v):
                          F.date_add(F.to_date("l_shipdate"), 3000).alias("valid_through"), F.when((flag == "R") & (F.col("l_suppkey") % 2 == 0), "cash").otherwise("stock").alias("kind"), F.lit("USD").alias("currency"),
                          F.col("l_shipdate").alias("recorded_at"), F.col("l_partkey").alias("outcome_id"))
     k = F.col("o_orderkey")
-    snaps = v.table("orders").select(k.alias("snapshot_id"), F.to_date("o_orderdate").alias("decision_date"), F.concat(F.lit("P"), (k % 4).cast("string")).alias("policy"), (k % 4 != 3).alias("policy_frozen"), F.lit(True).alias("prices_point_in_time"))
+    snaps = v.table("orders").select(k.alias("snapshot_id"), F.to_date("o_orderdate").alias("decision_date"), F.concat(F.lit("P"), (k % 4).cast("string")).alias("policy"), ((k % 4 != 3) | (F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))).alias("policy_frozen"), F.lit(True).alias("prices_point_in_time"))
     return lg.build_protocol(members, outcomes, snaps)
 
 

@@ -164,7 +164,7 @@ def _experiment_rows(v):
 @query("logistic_challenger", "fold:l train_rows:l test_rows:l champion_brier:f challenger_brier:f brier_skill:f")
 def _(v):
     rows = _experiment_rows(v)
-    return research.fold_scores(research.apply_split(rows, research.walk_forward_folds(rows, 5, 2)), "big_move", list(policy.FEATURES))
+    return research.fold_scores(research.apply_split(rows, research.walk_forward_folds(rows, 5, 5)), "big_move", list(policy.FEATURES))
 
 
 @query("run_experiment", "folds:l wins:l champion_brier:f challenger_brier:f avg_skill:f max_ece:f gates:s verdict:s")
@@ -175,13 +175,13 @@ def _(v):
 @query("fold_average", "folds:l wins:l champion_brier:f challenger_brier:f avg_skill:f")
 def _(v):
     rows = _experiment_rows(v)
-    folds = research.apply_split(rows, research.walk_forward_folds(rows, 21, 2))
-    return research.experiment_verdict(research.fold_scores(folds, "big_move", list(policy.FEATURES)[:4]))
+    folds = research.apply_split(rows, research.walk_forward_folds(rows, 21, 5))
+    return research.experiment_verdict(research.fold_scores(folds, "big_move", list(policy.FEATURES)))
 
 
 @query("ablation", "feature:s full_brier:f without_brier:f harm:f")
 def _(v):
-    return research.ablation(_experiment_rows(v), periods=1, features=list(policy.FEATURES)[:5], drop=list(policy.FEATURES)[:2])
+    return research.ablation(_experiment_rows(v))
 
 
 @query("shadow_predictions", "session_date:d ticker:s p:f base:f status:s prediction_hash:s")

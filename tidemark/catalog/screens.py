@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark import policy
 from tidemark.catalog.registry import query
 from tidemark.catalog.views import view
 from tidemark.operators import screens, sets
@@ -264,14 +265,14 @@ def _(v):
     return sets.latest_n_per_key(v.bars, ["ticker"], [F.desc("session_date")], 5)
 
 
-@query("price_snapshot_retention", "user_id:l event_id:l rank:l", """
+@query("price_snapshot_retention", "user_id:l event_id:l rank:l", f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank, max(ts) OVER () AS newest FROM events)
-WHERE rank <= 20 AND ts >= newest - INTERVAL 3 DAY""")
+WHERE rank <= {policy.SNAPSHOT_RETENTION} AND ts >= newest - INTERVAL 3 DAY""")
 def _(v):
     e = v.table("events")
     newest = e.agg(F.max("ts")).scalar()
     recent = e.filter(F.col("ts") >= newest - F.expr("interval 3 days"))
-    return sets.latest_n_per_key(recent, ["user_id"], [F.desc("ts"), F.desc("event_id")], 20)
+    return sets.latest_n_per_key(recent, ["user_id"], [F.desc("ts"), F.desc("event_id")], policy.SNAPSHOT_RETENTION)
 
 
 @query("latest_session_rows", KEY + "close:f", """

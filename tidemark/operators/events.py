@@ -254,7 +254,7 @@ def issuer_event_rows(tx: DataFrame, filings: DataFrame) -> DataFrame:
     """Ownership transactions and filing items as one event table; routine and unknown codes are left out."""
     trades = tx.filter(F.col("code").isin(OPEN_MARKET_BUY, OPEN_MARKET_SELL)).select(
         "ticker", F.when(F.col("code") == OPEN_MARKET_BUY, "insider_buy").otherwise("insider_sell").alias("event_type"),
-        F.col("transaction_date").alias("event_date"), "published_at", "available_at", "value", F.substring("owner", 1, 120).alias("detail"), "accession")
+        F.col("transaction_date").alias("event_date"), "published_at", "available_at", "value", F.col("owner").alias("detail"), "accession")
     items = filings.select("ticker", F.when(F.col("item") == "2.02", "results").otherwise("filing_event").alias("event_type"),
                            F.col("filed_on").alias("event_date"), "published_at", "available_at", F.lit(None).cast("double").alias("value"),
                            F.col("item").alias("detail"), "accession")

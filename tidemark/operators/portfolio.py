@@ -335,7 +335,7 @@ def portfolio_walk_forward(returns: DataFrame, candidates: DataFrame, market: Da
     """
     from tidemark.operators.sets import common_months
     spark = returns.sparkSession
-    months = [r[0] for r in common_months(returns).join(market.select("month"), "month", "left_semi").orderBy("month").limit(12 * 200).collect()]
+    months = [r[0] for r in common_months(returns).join(market.select("month"), "month", "left_semi").orderBy("month").collect()]
     cost, rows = cost_bps / 10_000, []
     for at in range(train_months, len(months) - test_months + 1, test_months):
         train = returns.filter(F.col("month").isin(months[:at]))

@@ -10,8 +10,8 @@ def exact_median(df: DataFrame, by: list[str], value: str, name: str = "median",
     """Exact median per group in two passes of partial aggregation.
 
     A sketch brackets the middle of each group; counts below the bracket give the rank the bracket starts at; only the
-    distinct values inside it (about 0.04% of the group) are then ordered. The bracket's bounds are sketch values whose
-    rank error is known, so the middle always lies inside; the sketch decides cost, never the answer.
+    distinct values inside it (about 0.04% of the group) are then ordered. Whether the middle lies inside is checked; a
+    group whose bracket misses it is ordered as a whole, so the sketch decides cost, never the answer.
     """
     eps = 4.0 / accuracy
     v = F.col(value)
@@ -20,9 +20,15 @@ def exact_median(df: DataFrame, by: list[str], value: str, name: str = "median",
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx(v, F.lit(0.5 - eps), F.lit(accuracy)).alias("_lo"),
         F.percentile_approx(v, F.lit(0.5 + eps), F.lit(accuracy)).alias("_hi"), F.min(v).alias("_min"), F.max(v).alias("_max"))
-    small = F.col("_n") < accuracy
-    mid = mid.withColumn("_lo", F.when(small, F.col("_min")).otherwise(F.col("_lo"))).withColumn(
-        "_hi", F.when(small, F.col("_max")).otherwise(F.col("_hi")))
+    found = _middle(rows, mid, by, value)
+    missed = found.filter("NOT _sure").select(*by)
+    whole = _middle(rows.join(missed, by, "left_semi"), mid.withColumn("_lo", F.col("_min")).withColumn("_hi", F.col("_max")), by, value)
+    return found.filter("_sure").unionByName(whole).select(*by, F.col("_median").alias(name))
+
+
+def _middle(rows: DataFrame, mid: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Median of the values between _lo and _hi by their ranks, and whether both middle ranks lie there."""
+    v = F.col(value)
     j = rows.select(*by, value).join(mid, by)
     below = j.groupBy(*by).agg(F.count_if(v < F.col("_lo")).alias("_below"), F.first("_n").alias("_n"))
     inside = (j.filter(v.between(F.col("_lo"), F.col("_hi"))).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_k"))
@@ -30,4 +36,6 @@ def exact_median(df: DataFrame, by: list[str], value: str, name: str = "median",
     run = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     upto = inside.withColumn("_upto", F.col("_below") + F.sum("_k").over(run))
     first, second = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
-    return upto.groupBy(*by).agg(((F.min(F.when(F.col("_upto") >= first, v)) + F.min(F.when(F.col("_upto") >= second, v))) / 2).alias(name))
+    low, high = F.min(F.when(F.col("_upto") >= first, v)), F.min(F.when(F.col("_upto") >= second, v))
+    sure = F.coalesce((F.first("_below") < F.first(first)) & (F.max("_upto") >= F.first(second)), F.lit(False))
+    return upto.groupBy(*by).agg(((low + high) / 2).alias("_median"), sure.alias("_sure"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark import policy
 from tidemark.functions import clip_probability, logit
-from tidemark.session import broadcast_within, reliable_checkpoint
+from tidemark.operators.sets import global_position
+from tidemark.session import reliable_checkpoint
 
 
 def brier_terms(p="p", y="label") -> dict[str, Column]:
@@ -122,17 +123,21 @@ def cluster_bootstrap(df: DataFrame, cluster: str, num: Column, den: Column, sam
     never facts. Percentiles are order statistics at int(q * (n - 1)) of the ``samples`` estimates, without interpolation.
     """
     by = by or []
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     sums = df.groupBy(*by, cluster).agg(F.sum(num).alias("_num"), F.sum(den).alias("_den"))
-    sums = reliable_checkpoint(sums.withColumn("_slot", F.row_number().over(group.orderBy(cluster)) - 1)
-                               .withColumn("_n", F.count(F.lit(1)).over(group)))
+    if by:
+        group = Window.partitionBy(*by)
+        sums = sums.withColumn("_slot", F.row_number().over(group.orderBy(cluster)) - 1).withColumn("_n", F.count(F.lit(1)).over(group))
+    else:
+        placed = global_position(sums, [cluster], "_slot")
+        sums = placed.withColumn("_n", F.lit(placed.count()))
+    sums = reliable_checkpoint(sums)
     # The digest of (replicate, slot) does not depend on the group, so it is taken once per slot for all groups.
     digests = sums.select("_slot").distinct().withColumn("_h", F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda r: draw_digest(seed, r, F.col("_slot"))))
     # The sums are few bytes but each row becomes ``samples`` draws, so they are spread over all cores explicitly.
     wide = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
-    draws = (sums.filter("_n >= 3").select(*by, "_slot", "_n").repartition(wide).join(broadcast_within(digests, 20_000), "_slot").select(*by, "_n", F.posexplode("_h").alias("_rep", "_x"))
+    draws = (sums.filter("_n >= 3").select(*by, "_slot", "_n").repartition(wide).join(digests, "_slot").select(*by, "_n", F.posexplode("_h").alias("_rep", "_x"))
              .select(*by, "_rep", F.pmod("_x", "_n").alias("_slot")))
-    est = (draws.join(broadcast_within(sums.select(*by, "_slot", "_num", "_den"), 1_000_000), [*by, "_slot"])
+    est = (draws.join(sums.select(*by, "_slot", "_num", "_den"), [*by, "_slot"])
            .groupBy(*by, "_rep").agg((F.sum("_num") / F.nullif(F.sum("_den"), F.lit(0.0))).alias("_e")))
     ordered = est.filter(F.col("_e").isNotNull() & ~F.isnan("_e")).groupBy(*by).agg(F.sort_array(F.collect_list("_e")).alias("_a"))
     m = F.size("_a")

@@ -10,8 +10,6 @@ from tidemark.functions import verdict
 from tidemark.operators import scores
 from tidemark.operators.joins import asof_join
 
-_LEVELS = 9  # range minima of 1, 2, 4 ... 256 rows answer any path of up to 511 sessions
-
 
 def alert_status(probability, base_rate, promoted: Column, clean: Column) -> Column:
     p, b = F.col(probability), F.col(base_rate)
@@ -22,17 +20,25 @@ def alert_status(probability, base_rate, promoted: Column, clean: Column) -> Col
 
 
 def _indexed(hist: DataFrame) -> DataFrame:
-    """History rows with what grading needs at either end of a path: position, unclean rows so far, and minima of the
-    close and of the relative price over the next 1, 2, 4 ... rows. A path minimum is then two lookups, not a range join."""
+    """History rows with what grading needs at either end of a path: position and unclean rows so far."""
     w = Window.partitionBy("ticker").orderBy("session_date")
-    rel = hist.withColumn("_rel", F.col("close") / F.col("bench_close"))
-    spans = [w.rowsBetween(0, 2 ** k - 1) for k in range(_LEVELS)]
-    return rel.select(
+    return hist.select(
         "ticker", "session_date", "close", "bench_close", (F.row_number().over(w) - 1).alias("pos"),
         F.sum(F.when(F.col("clean"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("unclean"),
-        F.when(F.col("clean"), 0).otherwise(1).alias("bad"),
-        F.array(*[F.min("close").over(s) for s in spans]).alias("lows"),
-        F.array(*[F.min("_rel").over(s) for s in spans]).alias("rel_lows"))
+        F.when(F.col("clean"), 0).otherwise(1).alias("bad"))
+
+
+def _range_minima(hist: DataFrame, longest: int) -> DataFrame:
+    """Minima of the close and of the relative price over the next 1, 2, 4 ... rows, enough for ``longest`` rows. Each level
+    is the smaller of two of the level before, so a path minimum is two lookups, not a range join."""
+    w = Window.partitionBy("ticker").orderBy("session_date")
+    out = hist.select("ticker", "session_date", F.col("close").alias("_l0"), (F.col("close") / F.col("bench_close")).alias("_r0"),
+                      (F.row_number().over(w) - 1).alias("pos"))
+    levels = max(longest, 1).bit_length()
+    for k in range(1, levels):
+        half = 2 ** (k - 1)
+        out = out.withColumns({f"_{c}{k}": F.least(f"_{c}{k - 1}", F.lead(f"_{c}{k - 1}", half).over(w)) for c in "lr"})
+    return out.select("ticker", "pos", *[F.array(*[f"_{c}{k}" for k in range(levels)]).alias(n) for c, n in (("l", "lows"), ("r", "rel_lows"))])
 
 
 def outcome_calendar_days(journal: DataFrame, hist: DataFrame, symbol="symbol", decided="decision_date",
@@ -42,7 +48,7 @@ def outcome_calendar_days(journal: DataFrame, hist: DataFrame, symbol="symbol",
     asks = journal.select(F.col(symbol).alias("ticker"), F.col(decided).alias("decided"), F.col(horizon).alias("horizon")).distinct()
     asks = asks.withColumn("target", F.date_add("decided", F.col("horizon")))
     h = _indexed(hist)
-    entry = h.select("ticker", "session_date", F.struct("session_date", "close", "bench_close", "pos", "unclean", "bad", "lows", "rel_lows").alias("entry"))
+    entry = h.select("ticker", "session_date", F.struct("session_date", "close", "bench_close", "pos", "unclean", "bad").alias("entry"))
     leave = h.select("ticker", "session_date", F.struct("session_date", "close", "bench_close", "pos", "unclean").alias("leave"))
     out = asof_join(asks, entry, "ticker", "decided", "session_date", ["entry"], strict=True, forward=True).drop("matched_ts")
     out = asof_join(out, leave, "ticker", "target", "session_date", ["leave"], forward=True).drop("matched_ts")
@@ -53,8 +59,12 @@ def outcome_calendar_days(journal: DataFrame, hist: DataFrame, symbol="symbol",
     level = F.floor(F.log2(length.cast("double"))).cast("int")
     out = (out.withColumn("_k", F.when(in_time, level))
            .withColumn("_tail", F.when(in_time, F.col("leave.pos") - F.pow(F.lit(2.0), F.col("_k")).cast("bigint") + 1)))
-    tails = h.select("ticker", F.col("pos").cast("bigint").alias("_tail"), F.col("lows").alias("_tl"), F.col("rel_lows").alias("_tr"))
-    out = out.join(tails, ["ticker", "_tail"], "left")
+    # A history has one row per day at most, so a path never holds more rows than its days.
+    longest = (asks.agg(F.max("horizon")).first()[0] or 0) + slip + 1
+    minima = _range_minima(hist, longest)
+    heads = minima.select("ticker", F.col("pos").alias("_head"), F.col("lows").alias("_hl"), F.col("rel_lows").alias("_hr"))
+    tails = minima.select("ticker", F.col("pos").cast("bigint").alias("_tail"), F.col("lows").alias("_tl"), F.col("rel_lows").alias("_tr"))
+    out = out.withColumn("_head", F.when(in_time, F.col("entry.pos"))).join(heads, ["ticker", "_head"], "left").join(tails, ["ticker", "_tail"], "left")
     unclean = F.col("leave.unclean") - F.col("entry.unclean") + F.col("entry.bad")
     reason = (F.when(F.col("last_session").isNull(), "no archived sessions")
               .when(F.col("entry").isNull(), "entry not archived yet")
@@ -65,8 +75,8 @@ def outcome_calendar_days(journal: DataFrame, hist: DataFrame, symbol="symbol",
     done = F.col("status") == "matured"
     stock = (F.col("leave.close") / F.col("entry.close") - 1) * 100
     bench = (F.col("leave.bench_close") / F.col("entry.bench_close") - 1) * 100
-    low = F.least(F.get("entry.lows", F.col("_k")), F.get("_tl", F.col("_k")))
-    rel = F.least(F.get("entry.rel_lows", F.col("_k")), F.get("_tr", F.col("_k")))
+    low = F.least(F.get("_hl", F.col("_k")), F.get("_tl", F.col("_k")))
+    rel = F.least(F.get("_hr", F.col("_k")), F.get("_tr", F.col("_k")))
     out = out.withColumn("reason", reason).withColumn("status", status)
     return out.select(
         F.col("ticker").alias(symbol), F.col("decided").alias(decided), F.col("horizon").alias(horizon), "status", "reason",

@@ -50,3 +50,6 @@ VOLATILITY_BANDS = ((0.35, "calm"), (0.60, "normal"), (0.95, "lively"))
 # Event study.
 ENTRY_OFFSETS, EXIT_OFFSETS, MIN_EVENTS = (-5, -3, -1, 0), (0, 1, 2, 5, 10), 100
 ROUND_TRIP_COST_PERCENT = 0.20
+
+#: Price snapshots kept of each symbol.
+SNAPSHOT_RETENTION = 300

@@ -1,4 +1,4 @@
-"""Session defaults and the two helpers every job needs: reliable checkpoints and size-checked broadcasts."""
+"""Session defaults and the helpers every job needs: reliable checkpoints, shared scratch folders, spreading."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, app: str = "tidemark", shuffle_partitions: int | None = None) -> SparkSession:
@@ -28,30 +27,28 @@ def build_session(master: str | None = None, app: str = "tidemark", shuffle_part
 def reliable_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut lineage through the cluster's shared checkpoint folder, so a lost executor never loses the result.
 
-    The folder named by ``spark.checkpoint.dir`` is used; only a session without one (a local test) gets its own.
+    The folder named by ``spark.checkpoint.dir`` is used; only a local session without one (a test) gets its own.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark))
     return df.checkpoint(eager=eager)
 
 
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after counting at most ``max_rows + 1`` rows; a bigger side keeps the planner's shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def _local_folder(spark: SparkSession) -> str:
+    """A folder of this machine, for a session that runs on this machine alone."""
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder for intermediate files: under the cluster's shared checkpoint folder, or under /tmp in a local test."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}" if shared else _local_folder(spark)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than cores before per-row work that is heavy on the processor. A table of many
-    files already has enough splits and is returned as it is, without a shuffle."""
-    wide = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wide) if df.rdd.getNumPartitions() < wide else df
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal rows out before per-row work that is heavy on the processor, to the session's shuffle width unless told."""
+    return df.repartition(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

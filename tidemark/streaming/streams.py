@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,20 +36,24 @@ def stream_sessions(ticks: DataFrame, key="symbol", ts="ts", price="price", dela
     return bars.select(F.to_date("w.start").alias("session_date"), key, "open", "high", "low", "last", "ticks")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, asked of the file system that holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def start_append(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]):
-    """Append rows whose key is new. The stored table is read per batch and each batch writes its own folder, so a batch
-    that is run again after a failure replaces its output instead of repeating it."""
-    spark = stream.sparkSession
+    """Append rows whose key is new. Each batch of each query (named by its checkpoint) writes a folder of its own, so a
+    batch that is run again after a failure replaces its output instead of repeating it, and a later query with a new
+    checkpoint adds to what earlier ones stored."""
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, epoch: int):
-        try:
-            stored = batch.sparkSession.read.parquet(f"{path}/*")
-            stored = stored.filter(~F.input_file_name().contains(f"/batch-{epoch}/"))
-        except Exception as error:  # the first batch finds no folder yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            stored = batch.limit(0)
-        append_if_absent(batch, stored, keys, order).write.mode("overwrite").parquet(f"{path}/batch-{epoch}")
+        own, spark = f"batch-{run}-{epoch}", batch.sparkSession
+        stored = batch.limit(0)
+        if _exists(spark, path):
+            stored = spark.read.schema(batch.schema).parquet(f"{path}/*").filter(~F.input_file_name().contains(f"/{own}/"))
+        append_if_absent(batch, stored, keys, order).write.mode("overwrite").parquet(f"{path}/{own}")
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -78,21 +84,28 @@ def stream_case_stage(events: DataFrame, stages: list[str], key="case_id") -> Da
 
     def step(case: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, items = state.get if state.exists else (-1, 0)
-        for pdf in batches:
-            out = []
-            for stage in pdf.sort_values("ts")["stage"]:
-                ok = order.get(stage, -1) >= max(at, 0)
-                at, items = (order[stage], items + 1) if ok else (at, items)
-                out.append((case[0], stage, ok, items))
-            yield pd.DataFrame(out, columns=["case_id", "stage", "accepted", "items"])
-        state.update((at, items))
+        # All of a case's events of one trigger are put in order together, whatever batches they arrive in.
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        place = rows["stage"].map(order).fillna(-1).astype(int).to_numpy()
+        highest = np.maximum.accumulate(np.concatenate([[max(at, 0)], place]))
+        ok = place >= highest[:-1]
+        counted = items + np.cumsum(ok)
+        state.update((int(place[ok][-1]) if ok.any() else at, int(counted[-1])))
+        yield pd.DataFrame({"case_id": case[0], "stage": rows["stage"].to_numpy(), "accepted": ok, "items": counted})
     return events.groupBy(key).applyInPandasWithState(step, CASE_SCHEMA, "at int, items long", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Drive a stream over everything available and return its result table (tests and small back-fills)."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Drive an append-only stream over everything available into Parquet files and read the table back."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def run_to_latest(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Drive an aggregation in update mode, its state bounded by the watermark; of each key the last version counts."""
+    def write(batch: DataFrame, epoch: int):
+        batch.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/batch-{epoch}")
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    stored = stream.sparkSession.read.schema(stream.schema.add("_epoch", "int")).parquet(f"{path}/*")
+    return stored.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_epoch").alias("_r")).select(*keys, "_r.*")
