@@ -5,8 +5,8 @@ frequency) and the latent space (a truncated singular value decomposition) are f
 rows, at most ``PER_LABEL`` of each label, taken by a hash of their id. That many labelled vectors are broadcast; every
 document is compared with all of them by blocked matrix products, and its nearest ones vote with their similarity.
 
-Only the text enters a score. Defined cases: a null text is an empty one; a text without terms gets the share of label 1
-in the sample; rows with a null label teach nothing; a document labelled twice counts with its larger label; without any
+Only the text enters a score. Defined cases: a null text is an empty one; a text without terms, or like no
+labelled one, gets the share of label 1 in the sample; rows with a null label teach nothing; a document labelled twice counts with its larger label; without any
 labelled row every score is 0.5; repeated rows are scored each; other columns are ignored.
 """
 
