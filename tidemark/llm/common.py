@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 19
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 U64 = np.uint64
 
 
@@ -48,11 +49,21 @@ def ship(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows read back from Parquet in the shared folder: cuts the lineage, and survives a lost executor."""
-    ship(df.sparkSession)
-    folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    """The same rows read back from Parquet in the shared folder: cuts the lineage, and survives a lost executor.
+
+    The shuffle files behind them are given back as soon as the table is written."""
+    spark = df.sparkSession
+    ship(spark)
+    folder, before = shared_folder(spark), spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -189,16 +200,9 @@ def binary_column(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
 
-def with_row_batches(docs: DataFrame, most: int = 16 << 20) -> DataFrame:
-    """Bounds the bytes of an Arrow batch where this Spark can, so long documents do not pile up in one batch."""
-    spark = docs.sparkSession
-    ship(spark)
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    try:
-        if int(spark.conf.get(key)) > most:
-            spark.conf.set(key, str(most))
-    except Exception:  # a Spark without that setting
-        pass
+def for_python(docs: DataFrame) -> DataFrame:
+    """The same rows, with this package sent ahead to the workers that will read them."""
+    ship(docs.sparkSession)
     return docs
 
 

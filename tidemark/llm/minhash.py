@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, U64, buffers, mix, shingle_hashes, slices, span_hashes, stored, unsigned_crc, with_row_batches, words
+from tidemark.llm.common import LOWER, U64, buffers, for_python, mix, shingle_hashes, slices, span_hashes, stored, unsigned_crc, words
 from tidemark.llm.components import components
 
 PERMUTATIONS, ROWS, SEED = 48, 4, 20240611
@@ -133,7 +133,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept, and the checksum of the text."""
-    docs = with_row_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", unsigned_crc(F.col("text")).alias("text_crc32")))
+    docs = for_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", unsigned_crc(F.col("text")).alias("text_crc32")))
     rows = stored(docs.mapInArrow(_describe(shingle), "doc_id long, text_crc32 long, n long, class binary, bands array<long>"))
     classes = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     members = classes.select(F.explode("bands").alias("band"), "class", "rep", "n")

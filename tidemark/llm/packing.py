@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import buffers, shuffle_width, slices, stored, with_row_batches
+from tidemark.llm.common import buffers, for_python, shuffle_width, slices, stored
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers; only time depends on it.
@@ -59,6 +59,13 @@ class WordIds:
 _encoders: dict[str, WordIds] = {}
 
 
+def encoder_of(path: str) -> WordIds:
+    """The worker's encoder, kept between tasks."""
+    if path not in _encoders:
+        _encoders[path] = WordIds(path)
+    return _encoders[path]
+
+
 def tokenizer_path(file: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
     return str(public_tokenizers.path(file))
@@ -68,9 +75,7 @@ def _cutter(path: str, capacity: int, end: int):
     closing = np.array([end], "<u4").tobytes()
 
     def cut(batches):
-        encoder = _encoders.get(path)
-        if encoder is None:
-            encoder = _encoders[path] = WordIds(path)
+        encoder = encoder_of(path)
         for batch in batches:
             ids, text = batch.column("doc_id").to_pylist(), batch.column("text")
             _, offsets = buffers(text)
@@ -89,7 +94,7 @@ def _cutter(path: str, capacity: int, end: int):
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
     """Token pieces of every document: its ids and then ``end``, cut only where longer than ``capacity``."""
-    docs = with_row_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    docs = for_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return docs.mapInArrow(_cutter(path or tokenizer_path(), capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, buffers, slices, span_hashes, with_row_batches, words
+from tidemark.llm.common import SPACE, buffers, for_python, slices, span_hashes, words
 
 #: Labelled rows used of each label, hashed terms, latent dimensions and voters: the documented bounds of the fit.
-PER_LABEL, TERMS, LATENT, VOTERS = 2000, 4096, 64, 25
+PER_LABEL, TERMS, LATENT, VOTERS, REPEATED = 2000, 4096, 64, 25, 2.0
 
 
 def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Counts of hashed terms, one row per document."""
+    """Counts of hashed terms, one row per document; the first term counts words that repeat the one before."""
     n = len(offsets) - 1
     doc = np.repeat(np.arange(n), np.diff(offsets))
     code = data.astype(np.uint32)
@@ -32,7 +32,7 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         gram = (code[:-2] * np.uint32(0x9E3779B1) ^ code[1:-1] * np.uint32(0x85EBCA77) ^ code[2:] * np.uint32(0xC2B2AE3D))
         gram = (gram * np.uint32(0x27D4EB2F)) >> np.uint32(32 - 12)
         same = doc[:-2] == doc[2:]
-        cell = (doc[:-2] * TERMS + gram % TERMS)[same]
+        cell = (doc[:-2] * TERMS + 1 + gram % (TERMS - 1))[same]
     else:
         cell = np.zeros(0, np.int64)
     starts, ends = words(data, offsets, SPACE)
@@ -43,7 +43,11 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    out = np.sqrt(counts) * idf
+    """Damped counts times idf, at unit length. Repetition is damped less: a trigram's tenth occurrence says little more
+    than its first, a tenth repeated word does."""
+    out = np.log1p(counts)
+    out[:, 0] = REPEATED * np.sqrt(counts[:, 0])
+    out *= idf
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -111,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     sample = docs.sparkSession.createDataFrame(ids, "doc_id long, quality int")
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "quality")
     # A repeated doc_id would let one row teach more than once; the bound below keeps the sample bounded all the same.
-    rows = with_row_batches(texts).mapInArrow(_sparse_terms, "quality int, at binary, n binary").orderBy("at", "n", "quality").limit(2 * per_label).collect()
+    rows = for_python(texts).mapInArrow(_sparse_terms, "quality int, at binary, n binary").orderBy("at", "n", "quality").limit(2 * per_label).collect()
     if not rows:
         return None
     counts = np.zeros((len(rows), TERMS), np.float32)
@@ -140,5 +144,5 @@ def classify(docs: DataFrame, labels: DataFrame, keep_all: bool = False, name: s
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     source = docs if keep_all else docs.select("doc_id", "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
-    scored = with_row_batches(source).mapInArrow(_scorer(model, source.columns, name), f"{schema}, `{name}` double")
+    scored = for_python(source).mapInArrow(_scorer(model, source.columns, name), f"{schema}, `{name}` double")
     return scored if keep_all else scored.drop("text")
