@@ -1,8 +1,8 @@
 """Portfolio analytics: period returns, co-movement, path risk, look-through and candidate scoring.
 
-The asset universe of a portfolio study is a short list. Where an operator needs all assets against all assets it checks
-that list (``MAX_ASSETS``) and keeps the n-by-n results as one small value; portfolios, which can be many, stay rows and
-are evaluated by array expressions without multiplying rows.
+Co-movement of any number of assets is added up in blocks. The assets of a portfolio study are a short list, which is
+checked (``MAX_ASSETS``), and their n-by-n matrix is one small value; portfolios, which can be many, stay rows and are
+evaluated by array expressions without multiplying rows.
 """
 
 from __future__ import annotations
@@ -15,8 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.frames import rolling_product, running_wealth
+from tidemark.operators.sets import global_position
 
+#: Assets of one portfolio study, whose matrix travels with the portfolios; co-movement itself has no such bound.
 MAX_ASSETS = 2000
+#: Assets in a block of the co-movement sums, and tasks that share the dates of a pair of blocks.
+SIDE, SLICES = 64, 4
 
 
 def month_end_returns(prices: DataFrame, key="symbol", ts="session_date", price="close") -> DataFrame:
@@ -42,33 +46,47 @@ def asset_list(df: DataFrame, key: str) -> list[str]:
 def gram(returns: DataFrame, key="symbol", ts="month", value="ret") -> DataFrame:
     """Sums behind every pairwise moment: count, sums, squares and cross product over the dates both assets have.
 
-    Each date becomes one vector. A task adds up the outer products of its own dates with numpy and hands on one n-by-n
-    block, so pairs are never written per date.
+    Assets are numbered and cut into blocks of ``SIDE``. For each date a block is one short vector, every pair of blocks
+    meets once, and a task adds up the outer products of its dates, so pairs are written once per task and not per date,
+    and no table of all assets exists anywhere. Values are taken from their asset's mean, which leaves every moment about
+    the mean as it is and keeps its digits.
     """
-    names = asset_list(returns, key)
-    index = {n: i for i, n in enumerate(names)}
-    rows = returns.groupBy(ts).agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))).alias("a"))
-    size = len(names)
+    known = returns.filter(F.col(value).isNotNull())
+    means = global_position(known.groupBy(key).agg(F.avg(value).alias("_c")), [key], "_i")
+    numbered = means.select(key, "_c", F.floor(F.col("_i") / SIDE).cast("int").alias("b"), (F.col("_i") % SIDE).cast("int").alias("s"), F.col("_i").cast("long").alias("_i"))
+    cells = known.join(numbered, key).groupBy(ts, "b").agg(F.collect_list(F.struct("s", (F.col(value) - F.col("_c")).alias("v"))).alias("a"))
+    right = cells.select(ts, F.col("b").alias("c"), F.col("a").alias("z"))
+    meet = cells.join(right, ts).where("b <= c").select("b", "c", F.pmod(F.xxhash64(ts), F.lit(SLICES)).alias("k"), "a", "z")
 
     def blocks(batches):
-        total = np.zeros((6, size, size))
+        total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            x = np.zeros((len(batch), size))
-            m = np.zeros((len(batch), size))
-            for r, cells in enumerate(batch["a"]):
-                for cell in cells:
-                    if cell["v"] is not None:
-                        c = index[cell["k"]]
-                        x[r, c], m[r, c] = cell["v"], 1.0
-            total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
-        left, right = np.meshgrid(names, names, indexing="ij")
-        flat = {"l": left.ravel(), "r": right.ravel()}
-        for i, c in enumerate(("n", "sl", "sr", "sll", "srr", "slr")):
-            flat[c] = total[i].ravel()
-        yield pd.DataFrame(flat)
-
-    part = rows.select("a").mapInPandas(blocks, "l string, r string, n double, sl double, sr double, sll double, srr double, slr double")
-    return part.groupBy(F.col("l").alias("left"), F.col("r").alias("right")).agg(*[F.sum(c).alias(c) for c in ("n", "sl", "sr", "sll", "srr", "slr")])
+            for pair, rows in batch.groupby(["b", "c"]):
+                sums = total.setdefault(pair, np.zeros((6, SIDE, SIDE)))
+                (x, m), (y, k) = _matrix(rows["a"]), _matrix(rows["z"])
+                sums += np.stack([m.T @ k, x.T @ k, m.T @ y, (x * x).T @ k, m.T @ (y * y), x.T @ y])
+        for (b, c), sums in total.items():
+            i, j = np.nonzero(sums[0])
+            if b == c:
+                i, j = i[i <= j], j[i <= j]
+            yield pd.DataFrame({"l": b * SIDE + i, "r": c * SIDE + j, **{n: sums[q, i, j] for q, n in enumerate(("n", "sl", "sr", "sll", "srr", "slr"))}})
+
+    sums = ("n", "sl", "sr", "sll", "srr", "slr")
+    part = meet.repartition("b", "c", "k").mapInPandas(blocks, "l long, r long, n double, sl double, sr double, sll double, srr double, slr double")
+    upper = part.groupBy("l", "r").agg(*[F.sum(c).alias(c) for c in sums])
+    lower = upper.filter("l <> r").select(F.col("r").alias("l"), F.col("l").alias("r"), "n", F.col("sr").alias("sl"), F.col("sl").alias("sr"), F.col("srr").alias("sll"), F.col("sll").alias("srr"), "slr")
+    names = numbered.select("_i", F.col(key).cast("string").alias("_k"))
+    out = upper.unionByName(lower).join(names.select(F.col("_i").alias("l"), F.col("_k").alias("left")), "l")
+    return out.join(names.select(F.col("_i").alias("r"), F.col("_k").alias("right")), "r").select("left", "right", *sums)
+
+
+def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a block, one row per date, and which are there."""
+    x, m = np.zeros((len(column), SIDE)), np.zeros((len(column), SIDE))
+    for i, cells in enumerate(column):
+        at = [c["s"] for c in cells]
+        x[i, at], m[i, at] = [c["v"] for c in cells], 1.0
+    return x, m
 
 
 def _cov() -> Column:

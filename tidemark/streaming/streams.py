@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.operators.sets import append_if_absent
 
@@ -104,8 +105,8 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 def run_to_latest(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
     """Drive an aggregation in update mode, its state bounded by the watermark; of each key the last version counts."""
     def write(batch: DataFrame, epoch: int):
-        batch.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/batch-{epoch}")
+        batch.withColumn("_epoch", F.lit(epoch).cast("int")).write.mode("overwrite").parquet(f"{path}/batch-{epoch}")
     stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     rest = [c for c in stream.columns if c not in keys]
-    stored = stream.sparkSession.read.schema(stream.schema.add("_epoch", "int")).parquet(f"{path}/*")
+    stored = stream.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("_epoch", IntegerType())])).parquet(f"{path}/*")
     return stored.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_epoch").alias("_r")).select(*keys, "_r.*")
