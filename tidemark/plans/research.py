@@ -209,6 +209,20 @@ def fold_scores(split: DataFrame, label: str, features: list[str], min_rows: int
     return out
 
 
+def average_brier(split: DataFrame, label: str, features: list[str], min_rows: int = 30) -> float | None:
+    """Mean over the folds of the challenger's Brier score, without the other scores that a verdict needs."""
+    sizes = {(r["fold"], r["role"]): r for r in split.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(label).alias("k")).collect()}
+    found = []
+    for fold in sorted({f for f, _ in sizes}):
+        train, test = sizes.get((fold, "train")), sizes.get((fold, "test"))
+        if train and test and train["n"] >= min_rows and test["n"] >= min_rows and train["k"] > 1:
+            part = split.filter(F.col("fold") == fold)
+            model = Challenger(features, label).fit(part.filter("role = 'train'"))
+            scored = model.predict(part.filter("role = 'test'"), "p").withColumn("label", F.col(label))
+            found.append(scored.agg(F.avg(scores.brier_terms("p", "label")["brier"])).first()[0])
+    return sum(found) / len(found) if found else None
+
+
 def experiment_verdict(results: DataFrame, min_folds: int = 5, min_wins: int = 4) -> DataFrame:
     """Averages over the folds, failed gates, verdict."""
     s = results.agg(F.count(F.lit(1)).alias("folds"), F.coalesce(F.sum(F.col("wins").cast("int")), F.lit(0)).alias("wins"),
@@ -237,7 +251,7 @@ def ablation(rows: DataFrame, label: str = "big_move", horizon: int = 5, periods
     split = reliable_checkpoint(apply_split(rows, walk_forward_folds(rows, horizon, periods)).select(
         "fold", "role", "session_date", "exit_date", "ticker", label, *features))
     def average(fs):
-        return fold_scores(split, label, fs).agg(F.avg("challenger_brier").alias("b")).first()["b"]
+        return average_brier(split, label, fs)
     base = average(features)
     table = [(f, base, average([x for x in features if x != f])) for f in (drop or features)]
     out = rows.sparkSession.createDataFrame(table, "feature string, full_brier double, without_brier double")
