@@ -1,7 +1,7 @@
 """WARC archives: one gzip member per record, written by executors and read back by a sequential reader.
 
-Writer: pages are dealt into archives by a hash, each archive goes to a file of its own in a shared folder under a
-temporary name and is then renamed, so a repeated task replaces it with the same bytes. Payloads that occur more than
+Writer: pages are dealt by a hash into archives of about ``ARCHIVE_BYTES``, each archive goes to a file of its own in a shared
+folder under a temporary name and is then renamed, so a repeated task replaces it with the same bytes. Payloads that occur more than
 once become ``revisit`` records of the page with the largest id.
 
 Reader: streams a file, inflates member by member, frames each record by its Content-Length and checks block and payload
@@ -67,33 +67,25 @@ def page_record(page_id, url, payload: bytes, refers_to) -> bytes:
 
 
 def _writer(folder: str):
-    def write(batches):
+    def write(pages: pa.Table, again: pa.Table) -> pa.Table:
+        if not pages.num_rows:
+            return pa.Table.from_pylist([], schema=MANIFEST)
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
-        out, current, temporary, count, size, rows = None, None, "", 0, 0, []
-
-        def close():
-            out.close()
-            fs.move(temporary, f"{root}/pages-{current:06d}.warc.gz")
-            rows.append({"archive": current, "path": f"{folder}/pages-{current:06d}.warc.gz", "records": count, "bytes": size})
-
-        for batch in batches:
-            for archive, page_id, url, html, refers_to in zip(*(batch.column(c) for c in ("archive", "page_id", "url", "html", "refers_to"))):
-                archive = archive.as_py()
-                if archive != current:
-                    if out is not None:
-                        close()
-                    current, temporary, count, size = archive, f"{root}/.{uuid.uuid4().hex}", 0, 0
-                    out = fs.open_output_stream(temporary, compression=None)
-                    info = record("warcinfo", [("WARC-Record-ID", f"<urn:archive:{archive}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
-                    size += out.write(info) or len(info)
-                made = page_record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), refers_to.as_py())
+        archive, temporary = pages.column("archive")[0].as_py(), f"{root}/.{uuid.uuid4().hex}"
+        first = {(p, d): r for p, d, r in zip(*(again.column(c).to_pylist() for c in ("page_id", "digest", "refers_to")))}
+        info = record("warcinfo", [("WARC-Record-ID", f"<urn:archive:{archive}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
+        size = len(info)
+        with fs.open_output_stream(temporary, compression=None) as out:
+            out.write(info)
+            pages = pages.sort_by([("page_id", "ascending"), ("digest", "ascending")])
+            for page_id, url, html, digest in zip(*(pages.column(c) for c in ("page_id", "url", "html", "digest"))):
+                page_id = page_id.as_py()
+                made = page_record(page_id, url.as_py(), html.as_py().encode(), first.get((page_id, digest.as_py())))
                 out.write(made)
-                count, size = count + 1, size + len(made)
-        if out is not None:
-            close()
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=MANIFEST)
+                size += len(made)
+        fs.move(temporary, f"{root}/pages-{archive:06d}.warc.gz")
+        return pa.Table.from_pylist([{"archive": archive, "path": f"{folder}/pages-{archive:06d}.warc.gz", "records": pages.num_rows, "bytes": size}], schema=MANIFEST)
     return write
 
 
@@ -110,13 +102,12 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000, archive_byt
     archives = max(1, -(-total // archive_bytes))
     large = keys.where(F.col("n") >= least)
     first = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    archive = F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives)).alias("archive")
     again = (large.join(first, "digest").where("refers_to IS NOT NULL AND NOT page_id <=> refers_to")
-             .select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "refers_to").distinct())
-    rows = (pages.join(again, pages.page_id.eqNullSafe(again.p) & (pages.digest == again.d), "left")
-            .withColumn("archive", F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives)))
-            .select("archive", "page_id", "url", "html", "refers_to"))
-    rows = rows.repartition(min(archives, shuffle_width(spark)), "archive").sortWithinPartitions("archive", "page_id")
-    return stored(rows.mapInArrow(_writer(folder), "archive long, path string, records long, bytes long"))
+             .select("page_id", "digest", "refers_to").distinct().select("page_id", "digest", "refers_to", archive))
+    # The pages cross the network once, to their archive, and meet there what they revisit.
+    dealt = pages.select("page_id", "url", "html", "digest", archive).groupBy("archive").cogroup(again.groupBy("archive"))
+    return stored(dealt.applyInArrow(_writer(folder), "archive long, path string, records long, bytes long"))
 
 
 class Reader:
