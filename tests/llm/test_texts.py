@@ -157,17 +157,15 @@ def test_a_chain_of_near_duplicates_is_one_component(spark):
 
 
 def test_lines_equal_all_pairs(docs, rows):
-    if True:
-        order, sets = {}, defaultdict(list)
-        for n, (i, t) in enumerate(rows):
-            for p, line in enumerate((t or "").split("\n")):
-                w = frozenset(BLANK.findall(lowered(line)))
-                if len(w) >= 8:
-                    sets[w].append((key(i), p))
-        head = {w: min(at) for w, at in sets.items()}
-        similar = {w for w in head for v in head if head[v] < head[w] and 100 * len(w & v) >= 80 * len(w | v)}
+    sets = defaultdict(list)
+    for i, t in rows:
+        for p, line in enumerate((t or "").split("\n")):
+            w = frozenset(BLANK.findall(lowered(line)))
+            if len(w) >= 8:
+                sets[w].append((key(i), p))
+    head = {w: min(at) for w, at in sets.items()}
+    similar = {w for w in head for v in head if head[v] < head[w] and 100 * len(w & v) >= 80 * len(w | v)}
     want = Counter()
-    seen_first = set()
     repeated = Counter(i for i, _ in rows)
     for i, t in rows:
         if repeated[i] > 1:
@@ -186,6 +184,23 @@ def test_lines_equal_all_pairs(docs, rows):
     assert similar and all(r.n_removed == len(r.lines_removed) for r in found)
 
 
+def test_lines_of_a_large_group_equal_all_pairs(spark):
+    """Hundreds of lines around one base: some are similar to it, and many pairs of them are not similar to each other."""
+    import random
+    rng = random.Random(6)
+    base = [f"base{i}" for i in range(24)]
+    rows = []
+    for i in range(260):
+        w = base[:]
+        for j in range(rng.randint(1, 5)):
+            w[rng.randrange(24)] = f"own{i}x{j}"
+        rows.append((1000 - i if i % 2 else i, " ".join(w)))
+    sets = {i: set(t.split()) for i, t in rows}
+    gone = {i for i in sets if any(j < i and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in sets)}
+    got = {r.doc_id: r.n_removed for r in lines.deduplicate(frame(spark, rows)).collect()}
+    assert {i for i, n in got.items() if n} == gone and 0 < len(gone) < 260
+
+
 def test_substrings_equal_all_windows(docs, rows):
     least = {}
     for i, t in rows:

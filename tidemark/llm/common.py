@@ -63,7 +63,16 @@ def stored(df: DataFrame) -> DataFrame:
             spark.conf.unset(FREE_SHUFFLES)
         else:
             spark.conf.set(FREE_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.stored_in = folder
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a table that ``stored`` returned and nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_in)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
