@@ -310,3 +310,23 @@ def test_empty_tables(spark, empty, docs):
     for made in (chunks.deduplicate(empty), decontaminate.leaks(empty, items), decontaminate.leaks(docs, items), minhash.near_duplicates(empty), lines.deduplicate(empty),
                  substrings.deduplicate(empty), packing.pack(packing.pieces(empty)), slots.shard(empty)):
         assert made.count() == 0
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    """A text without an id links others as any text does, and the pipeline leaves one row of every component."""
+    import corpus_pipeline
+
+    def text(name, *changed):
+        return " ".join(f"{name}{i}" if i not in changed else f"other{name}{i}" for i in range(120))
+    rows = [(None, text("a")), (7, text("a", 20)),
+            (5, text("b", 10, 30)), (None, text("b")), (9, text("b", 60, 90)),
+            (None, text("c")), (None, text("c")), (None, text("c", 50)),
+            (3, text("d")), (3, text("d", 50)), (3, text("d")), (3, text("e")), (4, "")]
+    component = {"a": 7, "b": 5, "c": None, "d": 3, "e": 3}
+    docs = frame(spark, rows).repartition(3)
+    got = {(r.doc_id, r.text_crc32): r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == {(i, zlib.crc32(t.encode())): component[t.removeprefix("other")[0]] if t else i for i, t in rows}
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    assert set(left) <= set(rows)
+    assert Counter(t.removeprefix("other")[:1] for _, t in left) == {"a": 1, "b": 1, "c": 1, "d": 1, "e": 1, "": 1}
+    assert {i for i, t in left if t[:1] in ("a", "b")} == {7, 5}

@@ -13,14 +13,14 @@ At a similarity of 0.8 a pair shares none of the 24 bands with probability 3e-6.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; a shorter text is one shingle
 of all its words; rows that repeat a doc_id are rows of their own, each in the component of its own set; a null doc_id
-names no component; an empty table gives no rows; columns besides ``doc_id`` and ``text`` are not looked at.
+names no component, but its text links others as any text does; an empty table gives no rows; columns besides ``doc_id`` and ``text`` are not looked at.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, U64, buffers, for_python, mix, shingle_hashes, slices, span_hashes, stored, unsigned_crc, words
@@ -87,8 +87,8 @@ def _describe(shingle: int):
                     found = band_keys(signatures(sets, np.append(bounds[:-1][full], len(sets)), multipliers)).view(np.int64)
                     for i, row in zip(full, found):
                         keys[i] = row
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, z - a), batch.column("text_crc32").slice(a, z - a), pa.array(sizes), pa.array(digests(sets, bounds), pa.binary()),
-                                                  pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_crc32", "n", "class", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, z - a), batch.column("text_crc32").slice(a, z - a), batch.column("text_hash").slice(a, z - a), pa.array(sizes), pa.array(digests(sets, bounds), pa.binary()),
+                                                  pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_crc32", "text_hash", "n", "class", "bands"])
     return describe
 
 
@@ -131,18 +131,26 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "s", "t").mapInArrow(_confirm(percent, 100), "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept, and the checksum of the text."""
-    docs = for_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", unsigned_crc(F.col("text")).alias("text_crc32")))
-    rows = stored(docs.mapInArrow(_describe(shingle), "doc_id long, text_crc32 long, n long, class binary, bands array<long>"))
-    classes = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    members = classes.select(F.explode("bands").alias("band"), "class", "rep", "n")
+def text_hash() -> Column:
+    """Tells the texts under one doc_id, or under none, apart; a null counts as an empty text."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Every row with its class, the smallest doc_id of its component and the component's first row."""
+    docs = for_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", unsigned_crc(F.col("text")).alias("text_crc32"), text_hash().alias("text_hash")))
+    rows = stored(docs.mapInArrow(_describe(shingle), "doc_id long, text_crc32 long, text_hash long, n long, class binary, bands array<long>"))
+    # A class's set is read from one of its rows: any that has its smallest doc_id, or any at all where none has an id.
+    some = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash"))
+    classes = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"), some.alias("text_hash"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    members = classes.select(F.explode("bands").alias("band"), "class", "rep", "text_hash", "n")
     shared = members.groupBy("band").agg(F.min("class").alias("a"), F.max("class").alias("z"), F.min_by("n", "class").alias("an")).where("a < z")
     members = stored(members.join(shared.select("band", "a", "an"), "band"))
     fits = F.greatest("n", "an") * percent <= F.least("n", "an") * 100
     star = stored(members.where((F.col("class") != F.col("a")) & fits).select("a", F.col("class").alias("b")).distinct())
-    wanted = members.groupBy("class").agg(F.min("rep").alias("doc_id"))
-    sets = stored(docs.join(wanted.where("doc_id IS NOT NULL"), "doc_id").select("text", "class").mapInArrow(_read_sets(shingle), "class binary, s binary").dropDuplicates(["class"]))
+    wanted = members.select("class", "rep", F.col("text_hash").alias("rep_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))
+    sets = stored(docs.join(wanted, same).select("text", "class").mapInArrow(_read_sets(shingle), "class binary, s binary").dropDuplicates(["class"]))
     links = stored(confirmed(star, sets, percent))
     roots = components(links)
     # Bands that still hold several components: their classes of different components are compared as well.
@@ -156,10 +164,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     if more.limit(1).count():
         links = links.unionByName(more)
         roots = components(links)
-    named = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"))
+    named = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_crc32", "text_hash")).alias("first"))
     named = named.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = named.groupBy("root").agg(F.min("rep").alias("least"))
-    named = named.join(least, "root").select("class", "least")
-    out = rows.select("doc_id", "text_crc32", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
+    least = named.groupBy("root").agg(F.min("rep").alias("least"), F.min("first").alias("first"))
+    named = named.select("class", "root").join(least, "root").select("class", "least", "first")
+    return rows.drop("bands").join(named, "class", "left")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept, and the checksum of the text."""
+    out = _grouped(docs, shingle, percent)
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_crc32")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_crc32")
+
+
+def first_rows(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, text_crc32 and text_hash of every row, whether it has words, and whether it is its component's first by them,
+    null ids last. Unlike ``kept`` this tells rows apart that share a doc_id or have none; exact copies of the first are first too."""
+    out = _grouped(docs, shingle, percent)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_crc32", "text_hash")
+    linked = F.col("class").isNotNull()
+    return out.select("doc_id", "text_crc32", "text_hash", linked.alias("linked"), (~linked | own.eqNullSafe(F.col("first"))).alias("is_first"))
