@@ -84,6 +84,29 @@ def test_co_movement_over_several_blocks(spark):
         assert abs(there[f"S{a:03d}", f"S{b:03d}"].correlation - np.corrcoef(x[days, a], x[days, b])[0, 1]) < 1e-9
 
 
+def test_assets_without_a_common_date_keep_their_places(spark):
+    """A and C never meet: every other correlation and covariance still belongs to its own pair."""
+    rng = np.random.default_rng(4)
+    days = {"A": range(0, 60), "B": range(0, 120), "C": range(60, 120), "D": range(0, 120)}
+    x = {s: {d: float(rng.standard_normal()) for d in r} for s, r in days.items()}
+    returns = spark.createDataFrame([(s, d, v) for s, r in x.items() for d, v in r.items()], "symbol string, session_date int, ret double")
+    weights = {"A": 10.0, "B": 20.0, "C": 30.0, "D": 40.0}
+    table = spark.createDataFrame([("P", s, w) for s, w in weights.items()], "portfolio string, symbol string, weight double")
+
+    def both(a, b):
+        at = sorted(set(days[a]) & set(days[b]))
+        return [x[a][d] for d in at], [x[b][d] for d in at]
+    got = {r.symbol: r.average_correlation for r in portfolio.average_correlation(table, portfolio.pairwise_stats(returns), list(days)).collect()}
+    for s in days:
+        known = [(weights[o], np.corrcoef(*both(s, o))[0, 1]) for o in days if o != s and both(s, o)[0]]
+        assert abs(got[s] - sum(w * c for w, c in known) / sum(w for w, _ in known)) < 1e-9
+    pairs = [(a, b) for a in days for b in days if both(a, b)[0]]
+    assert len(pairs) == 14
+    want = sum(weights[a] * weights[b] / 1e4 * np.cov(*both(a, b))[0, 1] for a, b in pairs)
+    cov = portfolio.covariance(returns, shrink=0.0, ts="session_date")
+    assert abs(portfolio.portfolio_variance(table, cov, list(days)).first().variance - want) < 1e-9
+
+
 def test_medians_are_exact_where_the_sketch_is_coarse(spark):
     rows = [(k, float((i * 7919) % 1001)) for k in range(3) for i in range(1001 + k)]
     got = {r.k: r.median for r in quantiles.exact_median(spark.createDataFrame(rows, "k int, v double"), ["k"], "v", accuracy=50).collect()}

@@ -168,6 +168,10 @@ def _dot(a: Column, b: Column) -> Column:
     return _total(F.zip_with(a, b, lambda x, y: x * y))
 
 
+def _known(row: Column) -> Column:
+    return F.transform(row, lambda x: F.coalesce(x, F.lit(0.0)))
+
+
 def weight_vectors(weights: DataFrame, assets: list[str], portfolio="portfolio", key="symbol", value="weight") -> DataFrame:
     """One row per portfolio with its weights in asset order; a portfolio has at most one entry per listed asset."""
     w = weights.filter(F.col(key).isin(assets)).groupBy(portfolio, key).agg(F.sum(value).alias("w"))
@@ -176,11 +180,13 @@ def weight_vectors(weights: DataFrame, assets: list[str], portfolio="portfolio",
     return m.select(portfolio, F.transform(order, lambda a: F.coalesce(F.try_element_at("_m", a), F.lit(0.0))).alias("w"))
 
 
-def matrix_value(cov: DataFrame, left="left", right="right", value="cov") -> Column:
-    """An n-by-n table as one array-of-arrays scalar, rows and columns in asset order."""
-    rows = cov.groupBy(left).agg(F.sort_array(F.collect_list(F.struct(right, value))).alias("a"))
-    whole = rows.agg(F.sort_array(F.collect_list(F.struct(F.col(left).alias("l"), F.col(f"a.{value}").alias("v")))).alias("m"))
-    return whole.select("m.v").scalar()
+def matrix_value(cov: DataFrame, assets: list[str], left="left", right="right", value="cov") -> Column:
+    """The table as one array-of-arrays scalar with a row and a column for each listed asset, in their order. Cells are found
+    by name; a pair that is not in the table is NULL."""
+    rows = cov.groupBy(left).agg(F.map_from_entries(F.collect_list(F.struct(right, value))).alias("a"))
+    whole = rows.agg(F.map_from_entries(F.collect_list(F.struct(left, "a"))).alias("m"))
+    names = F.array(*[F.lit(str(a)) for a in assets])
+    return whole.select(F.transform(names, lambda x: F.transform(names, lambda y: F.try_element_at(F.try_element_at("m", x), y)))).scalar()
 
 
 def vector_value(df: DataFrame, key: str, value: str) -> Column:
@@ -200,10 +206,11 @@ def portfolio_returns(weights: DataFrame, returns: DataFrame, portfolio="portfol
 
 
 def portfolio_variance(weights: DataFrame, cov: DataFrame, assets: list[str], portfolio="portfolio") -> DataFrame:
-    """Weights as fractions, their covariance products and the portfolio variance; one row per portfolio."""
-    vec = weight_vectors(weights, assets, portfolio).withColumn("_c", matrix_value(cov))
+    """Weights as fractions, their covariance products and the portfolio variance; one row per portfolio. Pairs without a
+    covariance add nothing."""
+    vec = weight_vectors(weights, assets, portfolio).withColumn("_c", matrix_value(cov, assets))
     vec = vec.withColumn("w", F.transform("w", lambda x: x / 100.0))
-    vec = vec.withColumn("cw", F.transform("_c", lambda row: _dot(F.col("w"), row)))
+    vec = vec.withColumn("cw", F.transform("_c", lambda row: _dot(F.col("w"), _known(row))))
     return vec.withColumn("variance", _dot(F.col("w"), F.col("cw"))).drop("_c")
 
 
@@ -218,7 +225,7 @@ def risk_contributions(weights: DataFrame, cov: DataFrame, assets: list[str], po
 
 def average_correlation(weights: DataFrame, stats: DataFrame, assets: list[str], portfolio="portfolio") -> DataFrame:
     """Weight-averaged correlation of each held asset with the other holdings whose correlation is known."""
-    vec = weight_vectors(weights, assets, portfolio).withColumn("_c", matrix_value(stats.select("left", "right", F.col("correlation").alias("cov"))))
+    vec = weight_vectors(weights, assets, portfolio).withColumn("_c", matrix_value(stats.select("left", "right", F.col("correlation").alias("cov")), assets))
     at = F.sequence(F.lit(0), F.lit(len(assets) - 1))
     names = F.array(*[F.lit(a) for a in assets])
 
@@ -255,8 +262,8 @@ def score_portfolios(candidates: DataFrame, mu: DataFrame, cov: DataFrame, bound
             v = v.withColumn("feasible", F.col("feasible") & part.between(low - 1e-9, high + 1e-9))
         v = v.drop("_g")
     if overlap is not None:
-        v = v.withColumn("_o", matrix_value(overlap.select(F.col("right").alias("left"), F.col("left").alias("right"), "cov")))
-        effective = F.zip_with("w", "_o", lambda w, col: w * 100 + _dot(F.col("w"), col))
+        v = v.withColumn("_o", matrix_value(overlap.select(F.col("right").alias("left"), F.col("left").alias("right"), "cov"), assets))
+        effective = F.zip_with("w", "_o", lambda w, col: w * 100 + _dot(F.col("w"), _known(col)))
         v = v.withColumn("max_exposure", F.array_max(effective)).withColumn("feasible", F.col("feasible") & (F.col("max_exposure") <= lookthrough_cap)).drop("_o")
     return v.drop("w", "cw", "_mu")
 
