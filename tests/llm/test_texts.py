@@ -261,6 +261,14 @@ def test_packing_places_every_piece_once(docs, rows):
     assert len(bins) <= -(-sum(w[3] * n for w, n in want.items()) // 256) + 1
 
 
+def test_packing_of_texts_that_name_special_tokens(spark):
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    rows = [(i, t) for i, t in enumerate(["end <|endoftext|> next", "a<|endoftext|>b", "<|startoftext|>\none\t<|endoftext|><|endoftext|>  two", "<|endoftext|>", "<|ENDOFTEXT|> <|endoftext| >"])]
+    want = {(i, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))) for i, t in rows for ids in [[*tokenizer.encode(t, add_special_tokens=False).ids, 0]]}
+    assert {(r.doc_id, r.length, r.ids_crc32) for r in packing.pieces(frame(spark, rows)).collect()} == want
+
+
 def test_the_fullest_combination_is_found():
     import itertools
     import random

@@ -32,14 +32,14 @@ class WordIds:
     """Ids of a text as the tokenizer gives them, with the ids of each word between ASCII blanks remembered.
 
     The tokenizer splits at white space and drops it, so a text's ids are its words' ids in turn; blanks other than the
-    ASCII ones stay within a word and reach the tokenizer unchanged."""
+    ASCII ones stay within a word and reach the tokenizer unchanged. The names of special tokens in a text become their ids,
+    as in a plain call; they hold no blanks."""
 
     def __init__(self, path: str):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
