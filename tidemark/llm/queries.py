@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunks, decontaminate, lines, minhash, neighbours, packing, quality, slots, substrings, warc
+from tidemark.llm import chunks, decontaminate, lines, minhash, negatives, neighbours, packing, quality, slots, substrings, warc, wordpieces
 from tidemark.llm.common import table
 
 
@@ -65,7 +65,20 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-JOBS = {f.__name__: f for f in (op1_chunks, op2_decontaminate, op3_quality, op4_neighbours, op5_slots, op6_warc, op7_minhash, op8_lines, op9_packing, op10_suffixes)}
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector and its five positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, label)
+
+
+def op13_wordpieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, and the texts they decode to, as digests."""
+    out = wordpieces.decode(wordpieces.encode(table(spark, sf_dir, "documents")))
+    joined = F.array_join("ids", ",").cast("binary")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+JOBS = {f.__name__: f for f in (op1_chunks, op2_decontaminate, op3_quality, op4_neighbours, op5_slots, op6_warc, op7_minhash, op8_lines, op9_packing, op10_suffixes, op12_negatives, op13_wordpieces)}
 
 ORACLES = {
     "op2_decontaminate": r"""
@@ -109,6 +122,18 @@ ranked AS (
   FROM asked JOIN usable ON vec_id <> query_id),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM ranked)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM placed WHERE rank <= 10""",
+    "op12_negatives": """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM usable a JOIN usable b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+met AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM pos p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM met WHERE rank <= 3""",
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
 l AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
