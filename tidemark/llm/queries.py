@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunks, decontaminate, lines, minhash, negatives, neighbours, packing, quality, slots, substrings, warc, wordpieces
+from tidemark.llm import chunks, collocations, decontaminate, lines, minhash, negatives, neighbours, packing, quality, slots, substrings, warc, wordpieces
 from tidemark.llm.common import table
 
 
@@ -65,6 +65,11 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language by their score."""
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every fiftieth vector and its five positives."""
     label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
@@ -78,7 +83,7 @@ def op13_wordpieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
-JOBS = {f.__name__: f for f in (op1_chunks, op2_decontaminate, op3_quality, op4_neighbours, op5_slots, op6_warc, op7_minhash, op8_lines, op9_packing, op10_suffixes, op12_negatives, op13_wordpieces)}
+JOBS = {f.__name__: f for f in (op1_chunks, op2_decontaminate, op3_quality, op4_neighbours, op5_slots, op6_warc, op7_minhash, op8_lines, op9_packing, op10_suffixes, op11_collocations, op12_negatives, op13_wordpieces)}
 
 ORACLES = {
     "op2_decontaminate": r"""
@@ -122,6 +127,24 @@ ranked AS (
   FROM asked JOIN usable ON vec_id <> query_id),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM ranked)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM placed WHERE rank <= 10""",
+    "op11_collocations": r"""
+WITH pieces AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+runs AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS p FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, p, count(*) AS a FROM runs GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+covered AS (SELECT lang, p[1:k - 1] AS p, a FROM f WHERE k > 2 UNION SELECT lang, p[2:k] AS p, a FROM f WHERE k > 2),
+cand AS (SELECT * FROM f WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM covered c WHERE c.lang = f.lang AND c.p = f.p AND c.a = f.a)),
+cuts AS (SELECT *, unnest(range(1, k)) AS c FROM cand),
+scored AS (
+  SELECT cuts.lang, cuts.p, cuts.a, c, x.a AS l, y.a AS r, n, (1000 * cuts.a::HUGEINT * n) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts JOIN totals USING (lang) JOIN f x ON x.lang = cuts.lang AND x.p = cuts.p[1:c] JOIN f y ON y.lang = cuts.lang AND y.p = cuts.p[c + 1:cuts.k]),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, c) = 1),
+placed AS (SELECT *, array_to_string(p, ' ') AS phrase FROM lowest),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM placed)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000""",
     "op12_negatives": """
 WITH usable AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
