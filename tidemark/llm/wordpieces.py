@@ -35,7 +35,7 @@ BLANK = "▁"
 #: Kinds of pieces in a model file (fixed values of the format).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Runs whose pieces a worker remembers; only time depends on it.
-MEMORY = 1_000_000
+MEMORY = 750_000
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 
 
@@ -97,6 +97,20 @@ class CharacterMap:
         return self.known[place]
 
 
+class _Memory(dict):
+    """Pieces of the runs met so far. Marks at the end of a run stand alone where no piece has them behind the character before."""
+
+    def __init__(self, model: PieceModel):
+        self.pieces_of, self.pairs = model.pieces_of, None if model.user else model.pairs
+
+    def __missing__(self, run: str) -> bytes:
+        end = len(run)
+        while self.pairs and end > 1 and run[end - 1] in ".,;:!?)\"'" and run[end - 2:end] not in self.pairs:
+            end -= 1
+        self[run] = out = self.pieces_of(run) if end == len(run) else self[run[:end]] + b"".join([self[c] for c in run[end:]])
+        return out
+
+
 class PieceModel:
     """A model file with what a worker remembers of it."""
 
@@ -130,14 +144,14 @@ class PieceModel:
         user = sorted((p for p, _, k in pieces if k == USER), key=len, reverse=True)
         self.user = re.compile("|".join(map(re.escape, user))) if user else None
         self.cut = self._cuts()
-        self.memory_ids: dict[str, bytes] = {}
-        self.memory_sizes: dict[str, bytes] = {}
+        self.memory = _Memory(self)
         self.controls = {i for i, k in enumerate(self.kinds) if k == CONTROL}
         self.bytes_of = [b"" if k == CONTROL else self.unknown_text.encode() if k == UNKNOWN else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(BLANK, " ").encode() for p, _, k in pieces]
 
     def _cuts(self) -> re.Pattern:
         """Runs that no merge leaves: blanks and what follows them up to the next blank; characters of no longer piece."""
         longer = [p for p in self.ids if len(p) > 1]
+        self.pairs = {a + b for p in longer for a, b in zip(p, p[1:])}
         if self.user or any(re.search(f"[^{BLANK}]{BLANK}", p) for p in longer):
             return re.compile(r"(?s).+")
         inside = set("".join(longer))
@@ -260,34 +274,28 @@ class PieceModel:
                 pairs[i] = score(symbols[i] + symbols[i + 1], none)
         return symbols
 
-    def pieces_of(self, run: str) -> tuple[bytes, bytes]:
-        """Ids of a run, and how many normalised characters each covers."""
-        ids, sizes = [], []
+    def pieces_of(self, run: str) -> bytes:
+        """Ids of a run, each followed by how many normalised characters it covers."""
+        out = []
         for piece in self.merge(run):
             if piece in self.ids:
-                ids.append(self.ids[piece])
-                sizes.append(len(piece))
+                out += self.ids[piece], len(piece)
             elif self.byte_fallback:
                 for c in piece:
-                    raw = c.encode()
-                    ids.extend(self.byte_ids[b] for b in raw)
-                    sizes.extend([0] * (len(raw) - 1) + [1])
+                    out += [x for b in c.encode() for x in (self.byte_ids[b], 0)]
+                    out[-1] = 1
             else:
-                ids.append(self.unknown)
-                sizes.append(len(piece))
-        return array("i", ids).tobytes(), array("I", sizes).tobytes()
+                out += self.unknown, len(piece)
+        return array("i", out).tobytes()
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and the source bytes at which each piece begins and ends."""
         normalised, places = self.normalise(text)
-        if len(self.memory_ids) > MEMORY:
-            self.memory_ids.clear()
-            self.memory_sizes.clear()
-        runs = self.cut.findall(normalised)
-        for r in set(runs).difference(self.memory_ids):
-            self.memory_ids[r], self.memory_sizes[r] = self.pieces_of(r)
-        ids = np.frombuffer(b"".join(map(self.memory_ids.__getitem__, runs)), "<i4")
-        bounds = np.concatenate([[0], np.cumsum(np.frombuffer(b"".join(map(self.memory_sizes.__getitem__, runs)), "<u4"), dtype=np.int64)])
+        if len(self.memory) > MEMORY:
+            self.memory.clear()
+        both = np.frombuffer(b"".join(map(self.memory.__getitem__, self.cut.findall(normalised))), "<i4")
+        ids, bounds = both[::2], np.zeros(len(both) // 2 + 1, np.int64)
+        np.cumsum(both[1::2], out=bounds[1:])
         starts, ends = places[bounds[:-1]], places[bounds[1:]]
         if not self.byte_fallback and len(ids):  # unknown characters in a row are one piece
             new = np.ones(len(ids), bool)
