@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import text
+from tidemark.functions import deals, text
 from tidemark.operators import frames, joins, scores, sets
 from tidemark.operators.quantiles import exact_median
 from tidemark.plans import fundamentals, observations, research
@@ -157,7 +157,7 @@ def test_merger_terms(spark):
              "stock": "Issuer SEC CIK: 1. The merger became effective on June 2, 2025. Each share became 0.5 shares for each share. Successor security identity: FIGI:NEW.",
              "unclear": "Issuer SEC CIK: 1. The merger completed on June 2, 2025. Holders receive 150 USD per share and 155 USD per share.", "other": "Issuer SEC CIK: 2. The merger completed on June 2, 2025. Holders receive 150 USD per share."}
     df = spark.createDataFrame([(k, "CIK:1", t) for k, t in lines.items()], "k string, target_id string, text string")
-    got = {r["k"]: (r["status"], r["kind"] or r["reason"]) for r in text.terminal_terms(df).collect()}
+    got = {r["k"]: (r["status"], r["kind"] or r["reason"]) for r in deals.terminal_terms(df).collect()}
     assert got == {"cash": ("accepted", "cash"), "stock": ("accepted", "stock"), "unclear": ("rejected", "ambiguous terms"), "other": ("rejected", "target identity")}
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import query
 from tidemark.catalog.views import view
-from tidemark.functions import text
+from tidemark.functions import deals, text
 from tidemark.functions.scalars import company_key, domain_allowed, friday_on_or_after, next_weekday, rating_direction, sentences, session_cutoff, signed_log10, squeeze, stable_id, verdict
 from tidemark.operators import league
 from tidemark.session import scratch_dir, spread
@@ -118,7 +118,7 @@ SELECT k AS accession, CASE WHEN why IS NULL THEN 'accepted' ELSE 'rejected' END
 SELECT *, CASE WHEN k % 17 = 0 THEN 'target identity' WHEN c1 AND k % 19 = 0 THEN 'ambiguous terms' WHEN NOT hc AND NOT hs THEN 'no consideration' END AS why FROM (
 SELECT o_orderkey AS k, CAST(o_orderdate + INTERVAL 20 YEAR AS DATE) AS d, o_orderkey % 3 <> 0 AND o_orderkey % 8 <> 1 AS c1, (o_orderkey % 3 <> 0 AND o_orderkey % 8 <> 1) OR o_orderkey % 19 = 0 AS hc, o_orderkey % 3 <> 1 AS hs FROM orders))""")
 def _deals(v):
-    return text.terminal_terms(v.deal_docs)
+    return deals.terminal_terms(v.deal_docs)
 
 
 @query("merger_terms", "accession:l status:s reason:s nature:s kind:s effective_on:d cash:f currency:s ratio:f successor_id:s supersedes:s", "SELECT * FROM deals")
@@ -126,10 +126,42 @@ def _(v):
     return v.deals
 
 
-@query("store_terminal_events", "accession:l event_type:s", "SELECT accession, nature || '_' || kind AS event_type FROM deals WHERE status = 'accepted' AND accession % 5 <> 0")
+@view("terminal_records", """
+SELECT accession, CASE WHEN why IS NULL THEN 'accepted' ELSE 'rejected' END AS status, why AS reason, CASE WHEN why IS NULL THEN kind END AS kind, CASE WHEN why IS NULL THEN nature || '_' || kind END AS event_type FROM (
+SELECT *, CASE WHEN accession % 41 = 0 THEN 'no documents' WHEN accession % 28 = 0 OR (accession % 23 = 0 AND accession % 4 <> 0) THEN 'source authority' WHEN accession % 29 = 0 THEN 'evidence clocks'
+ WHEN accession % 43 = 0 THEN 'issuer identity' WHEN reason IS NOT NULL THEN reason WHEN accession % 37 = 0 THEN 'ticker attribution' END AS why FROM deals)""")
+def _terminal_records(v):
+    """The deal documents as retrieved records, some of them from a foreign host, with clocks out of order or for another issuer."""
+    k, own = F.col("accession"), F.substring_index("target_id", ":", -1)
+    release, at = k % 4 == 0, F.lit("2020-05-01 10:00:00").cast("timestamp")
+    url = (F.when(k % 28 == 0, "https://example.com.elsewhere.org/deal").when(release, "https://ir.example.com/deal").when(k % 23 == 0, "http://www.sec.gov/Archives/edgar/data/1/2").otherwise("https://www.sec.gov/Archives/edgar/data/1/2"))
+    page = F.concat(F.lit("<html><body><p>"), F.replace("text", F.lit(". "), F.lit(".</p> <p>")), F.lit("</p></body></html>"))
+    records = v.deal_docs.select(
+        "accession", F.concat(F.lit("T"), own).alias("ticker"), F.when(k % 37 == 0, "999999").otherwise(own).alias("cik"), F.when(release, deals.RELEASE).otherwise(deals.FILING).alias("source_kind"), url.alias("source_url"),
+        F.array(F.lit("Example.com.")).alias("issuer_domains"), at.alias("published_at"), F.when(k % 29 == 0, at - F.expr("INTERVAL 1 HOUR")).otherwise(at).alias("available_at"), (at + F.expr("INTERVAL 1 DAY")).alias("retrieved_at"),
+        "target_id", F.when(k % 43 == 0, "CIK:999998").otherwise(F.col("target_id")).alias("expected_id"), F.when(k % 41 == 0, F.array().cast("array<string>")).otherwise(F.array(page)).alias("documents"),
+        F.when(k % 2 == 0, F.sha2(k.cast("string"), 256)).alias("record_hash"))
+    return deals.terminal_records(records).withColumn("event_type", F.concat_ws("_", "nature", "kind"))
+
+
+@query("terminal_records", "accession:l status:s reason:s kind:s", "SELECT accession, status, reason, kind FROM terminal_records")
 def _(v):
-    hashed = v.deals.withColumn("record_hash", F.sha2(F.col("accession").cast("string"), 256)).withColumn("document_hash", F.sha2(F.concat(F.lit("d"), F.col("accession").cast("string")), 256))
-    return text.terminal_event_rows(hashed, hashed.filter("accession % 5 = 0"))
+    return v.terminal_records
+
+
+@query("store_terminal_events", "accession:l event_type:s", "SELECT accession, event_type FROM terminal_records WHERE status = 'accepted' AND accession % 5 <> 0")
+def _(v):
+    return deals.terminal_event_rows(v.terminal_records, v.terminal_records.filter("accession % 5 = 0"))
+
+
+@query("terminal_filings", "ticker:l accession:l form:s", """
+SELECT ticker, accession, form FROM (SELECT o_custkey AS ticker, o_orderkey AS accession, list_extract(['8-K', '10-Q', '25-NSE', 'S-4/A', '6-K'], CAST(o_orderkey % 5 + 1 AS BIGINT)) AS form, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS p
+ FROM orders WHERE o_orderkey % 5 <> 1 AND o_custkey % 3 <> 0) WHERE p <= 12""")
+def _(v):
+    k, now = F.col("o_orderkey"), F.lit("2024-01-02 00:00:00").cast("timestamp")
+    filings_ = v.table("orders").select(F.col("o_custkey").alias("ticker"), k.alias("accession"), F.col("o_orderdate").cast("timestamp").alias("accepted_at"), F.get(F.array(*[F.lit(x) for x in ("8-K", "10-Q", "25-NSE", "S-4/A", "6-K")]), (k % 5).cast("int")).alias("form"))
+    checked = v.table("customer").where("c_custkey % 3 < 2").select(F.col("c_custkey").alias("ticker"), (now - F.when(F.col("c_custkey") % 3 == 0, F.expr("INTERVAL 19 HOURS")).otherwise(F.expr("INTERVAL 20 HOURS"))).alias("checked_at"))
+    return deals.new_filings(filings_, checked, now)
 
 
 # --- scalar functions ------------------------------------------------------------------------------------------------

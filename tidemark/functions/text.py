@@ -1,4 +1,4 @@
-"""Text extraction as column expressions: visible text, management guidance and merger terms.
+"""Text extraction as column expressions: visible text and management guidance.
 
 Every pattern runs over the whole text. Ambiguity is rejected with a reason; nothing is inferred or converted.
 """
@@ -222,92 +222,3 @@ def guidance_view(observations: DataFrame, cutoff: Column, published="published_
 
 def range_position(value: Column, low: Column, high: Column) -> Column:
     return F.when(value > high, "above").when(value < low, "below").when(value.isNotNull(), "within")
-
-
-# --- merger terms ----------------------------------------------------------------------------------------------------
-
-# Month names and the ways to write a currency.
-MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-MONEY = {"usd": "USD", "u.s. dollar": "USD", "u.s. dollars": "USD", "eur": "EUR", "euro": "EUR", "euros": "EUR", "gbp": "GBP", "pound sterling": "GBP", "pounds sterling": "GBP",
-         "cad": "CAD", "canadian dollar": "CAD", "canadian dollars": "CAD", "jpy": "JPY", "japanese yen": "JPY"}
-
-# Kinds of words in merger documents. Money is Y, or u followed by v.
-DEAL = {"M": MONTHS, "Y": tuple(k for k in MONEY if " " not in k), "u": ("u.s.", "canadian", "japanese", "pound", "pounds"), "v": ("dollar", "dollars", "sterling", "yen"),
-        "e": ("effective",), "d": ("date",), "o": ("on",), "b": ("became",), "c": ("completed", "closed"), "w": ("was", "is", ":"), "m": ("merger",),
-        "f": ("for", "per"), "a": ("each",), "s": ("share", "shares"), "x": ("of",), "i": ("in",), "h": ("cash",),
-        "g": ("successor", "acquirer"), "k": ("surviving",), "t": ("target", "issuer"), "j": ("subject",), "q": ("company",), "n": ("identity", "identifier"), "l": ("stable", "security"), "r": ("sec",), "p": ("cik",),
-        "z": ("amends", "amending", "supersedes"), "y": ("and", "supplements"), "B": ("accession",), "G": ("number",), ".": (".", ";")}
-_DAY, _MONEY, _SHARE, _NAMED = "(?:D|MNN)", "(?:Y|uv)", "(?:ih)?fa?s", "l{0,2}(?:n|rp)w?[IN]"
-# Rules over the shape, each anchored where it starts: closing day, cash and stock per share, the two parties, amendment.
-CLOSED = rf"(?:(?:ed|b?eo|co)w?|m(?:be|wc|c)o?){_DAY}"
-CASH, STOCK = rf"(?:N{_MONEY}|{_MONEY}N){_SHARE}", "N(?:sx[^.]*?)?sfa?s"
-SUCCESSOR, TARGET, AMENDS = rf"(?:g|kq){_NAMED}", rf"(?:t|jq){_NAMED}", "z(?:yy)?(?:BG?)?A"
-MERGER, DELISTING = r"(?i)\b(?:merger|acquisition|business combination)\b", r"(?i)\bdelist(?:ing|ed)?\b"
-
-
-def _matches(x: str, rule: str) -> Column:
-    """(shape of the match, its tokens) for every place where the rule holds."""
-    shape, starts = F.col(f"{x}.shape"), F.sequence(F.lit(1), F.greatest(F.length(f"{x}.shape"), F.lit(1)))
-
-    def at(i):
-        found = F.regexp_extract(F.substring(shape, i, F.length(shape)), f"^{rule}", 0)
-        return F.struct(found.alias("shape"), F.slice(F.col(f"{x}.t"), i, F.greatest(F.length(found), F.lit(1))).alias("t"))
-    return F.filter(F.transform(starts, at), lambda m: m["shape"] != "")
-
-
-def _last(m: Column, back: int = 0) -> Column:
-    return F.get(m["t"], F.size(m["t"]) - 1 - back)
-
-
-def _day(m: Column) -> Column:
-    written = F.concat_ws(" ", F.initcap(_last(m, 2)), F.concat(_last(m, 1), F.lit(",")), F.when(_last(m).rlike(r"^20\d\d$"), _last(m)))
-    return F.when(m["shape"].endswith("D"), F.to_date(F.try_to_timestamp(_last(m), F.lit("yyyy-MM-dd")))).otherwise(F.to_date(F.try_to_timestamp(written, F.lit("MMMM d, yyyy"))))
-
-
-def _amount(m: Column) -> Column:
-    number = F.get(m["t"], F.instr(m["shape"], "N") - 1)
-    place = F.length(F.regexp_extract(m["shape"], rf"^(.*?){_MONEY}", 1))
-    words = F.when(m["shape"].contains("uv"), F.concat_ws(" ", F.get(m["t"], place), F.get(m["t"], place + 1))).otherwise(F.get(m["t"], place))
-    codes = F.create_map(*[F.lit(y) for pair in MONEY.items() for y in pair])
-    return F.struct(F.replace(number, F.lit(",")).try_cast("double").alias("amount"), F.try_element_at(codes, words).alias("currency"))
-
-
-def identifier(c: Column) -> Column:
-    """FIGI:x or CIK:n without leading zeros."""
-    t = F.upper(F.trim(c))
-    number = F.regexp_extract(t, r"^(?:CIK:)?0*(\d+)$", 1)
-    return F.when(t.rlike(r"^(?:CIK:)?\d+$"), F.concat(F.lit("CIK:"), number)).when(t.rlike(r"^(FIGI|CIK):.+$"), t)
-
-
-def _values(a: Column) -> Column:
-    return F.array_distinct(F.array_compact(a))
-
-
-def terminal_terms(documents: DataFrame, text="text", target="target_id") -> DataFrame:
-    """Merger or delisting terms, accepted only when every term has exactly one distinct value; else the reason why not."""
-    d = once(spread(documents), _x=lexed(F.col(text), DEAL))
-    x = F.regexp_replace(F.col(text), r"\s+", " ")
-    cash = F.array_distinct(F.filter(F.transform(_matches("_x", CASH), _amount), lambda r: (r["amount"] > 0) & r["currency"].isNotNull()))
-    ratios = _values(F.transform(_matches("_x", STOCK), lambda m: F.replace(F.get(m["t"], F.lit(0)), F.lit(",")).try_cast("double")))
-    d = once(d, _dates=_values(F.transform(_matches("_x", CLOSED), _day)), _cash=cash, _ratios=ratios, _succ=_values(F.transform(_matches("_x", SUCCESSOR), lambda m: identifier(_last(m)))),
-             _targets=_values(F.transform(_matches("_x", TARGET), lambda m: identifier(_last(m)))), _amends=F.array_distinct(F.transform(_matches("_x", AMENDS), _last)))
-    one_cash, one_ratio = F.get("_cash", F.lit(0)), F.get("_ratios", F.lit(0))
-    nature = F.when(x.rlike(MERGER), "merger").when(x.rlike(DELISTING), "delisting")
-    own = identifier(F.col(target))
-    reason = (F.when(nature.isNull(), "not a merger or delisting").when((F.size("_targets") > 0) & ~((F.size("_targets") == 1) & (F.get("_targets", F.lit(0)) == own)), "target identity")
-              .when(F.size("_dates") != 1, "effective date").when((F.size("_cash") > 1) | (F.size("_ratios") > 1) | (F.size("_succ") > 1), "ambiguous terms")
-              .when((F.size("_cash") == 0) & (F.size("_ratios") == 0), "no consideration").when((F.size("_ratios") == 1) & ((one_ratio <= 0) | (F.size("_succ") == 0)), "stock terms")
-              .when(F.size("_amends") > 1, "ambiguous amendment"))
-    kind = F.when((F.size("_cash") == 1) & (F.size("_ratios") == 1), "mixed").when(F.size("_cash") == 1, "cash").otherwise("stock")
-    d = d.withColumn("reason", reason)
-    ok = F.col("reason").isNull()
-    keep = [c for c in documents.columns if c != text]
-    return d.select(*keep, F.when(ok, "accepted").otherwise("rejected").alias("status"), "reason", F.when(ok, nature).alias("nature"), F.when(ok, kind).alias("kind"), F.when(ok, F.get("_dates", F.lit(0))).alias("effective_on"),
-                    F.when(ok, one_cash["amount"]).alias("cash"), F.when(ok, one_cash["currency"]).alias("currency"), F.when(ok, one_ratio).alias("ratio"), F.when(ok & (F.size("_ratios") == 1), F.get("_succ", F.lit(0))).alias("successor_id"),
-                    F.when(ok, F.get("_amends", F.lit(0))).alias("supersedes"))
-
-
-def terminal_event_rows(terms: DataFrame, existing: DataFrame) -> DataFrame:
-    """Accepted terms as event rows; a record whose hashes are stored already is unchanged and not written again."""
-    rows = terms.filter("status = 'accepted'").withColumn("event_type", F.concat_ws("_", "nature", "kind"))
-    return rows.join(existing.select("accession", "record_hash", "document_hash").distinct(), ["accession", "record_hash", "document_hash"], "left_anti")
