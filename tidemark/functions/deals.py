@@ -156,7 +156,7 @@ def terminal_records(records: DataFrame) -> DataFrame:
 
     A record without a hash of its own gets that of its canonical content, retrieval time and documents left out.
     """
-    content = canonical(*[c for c in records.columns if c not in ("documents", "retrieved_at", "record_hash", "issuer_domains")])
+    content = canonical("accession", "ticker", "cik", "source_kind", "source_url", "published_at", "available_at", "target_id", "expected_id")
     given = F.lower(F.coalesce("record_hash", F.lit("")))
     r = once(spread(records), _hashes=F.transform("documents", lambda d: F.sha2(F.encode(d, "UTF-8"), 256)), _hash=F.when(given.rlike(SHA256), given).otherwise(F.sha2(content, 256)))
     unread = F.when(F.coalesce(F.size("documents"), F.lit(0)) <= 0, "no documents").when(F.exists("documents", lambda d: d.isNull()), "unreadable document")
