@@ -6,7 +6,7 @@ from tidemark.catalog.registry import query
 from tidemark.catalog.screens import _FAILED, _MISSING, _list, _with_raw
 from tidemark.catalog.views import view
 from tidemark.functions import content_address
-from tidemark.operators import frames, joins, screens
+from tidemark.operators import frames, intervals, joins, screens
 from tidemark.plans import ledger as lg, observations as ob
 from tidemark.sources.bars import latest_close
 
@@ -26,20 +26,50 @@ def _lab(n):
     return f"CASE WHEN {ok} THEN 'ready' ELSE 'quarantined' END AS label_status_{n}, CASE WHEN {ok} THEN {ex} END AS excess_{n}, CASE WHEN {ok} THEN CASE WHEN abs({ex}) >= {t}e0 THEN CASE WHEN {ex} > 0 THEN 'up' ELSE 'down' END ELSE 'none' END END AS direction_{n}"
 
 
+@view("bench_dividends", "SELECT min(session_date) AS event_date, arg_min(bench_close, session_date)*CASE WHEN year(session_date) = 1995 THEN 2e0 ELSE 0.003e0 END AS cash FROM bench GROUP BY year(session_date), quarter(session_date)")
+def _bench_dividends(v):
+    """Four a year; one that exceeds the price spoils what comes before it."""
+    d = F.col("session_date")
+    first = v.bench.groupBy(F.year(d).alias("y"), F.quarter(d)).agg(F.min(d).alias("event_date"), F.min_by("bench_close", d).alias("c"))
+    return first.select("event_date", (F.col("c") * F.when(F.col("y") == 1995, 2.0).otherwise(0.003)).alias("cash"))
+
+
+@view("listed", "SELECT *, CASE WHEN CAST(ticker AS BIGINT) % 3 = 1 THEN 'SHR' || ticker END AS share_class_figi FROM refs")
+def _listed(v):
+    return v.refs.withColumn("share_class_figi", F.when(F.col("ticker").cast("bigint") % 3 == 1, F.concat(F.lit("SHR"), "ticker")))
+
+
+@view("action_requests", "SELECT 1 AS unused")
+def _action_requests(v):
+    """Quarterly requests of both endpoints that adjoin or overlap; of dividends those of the third quarter of 1996 came a year late,
+    and those of the third quarter of 1997 are missing."""
+    days = v.bench.agg(F.min("session_date").alias("a"), F.date_add(F.max("session_date"), 30).alias("z")).select(F.explode(F.sequence(F.trunc("a", "quarter"), "z", F.expr("interval 3 months"))).alias("q"))
+    r = days.select("q", F.explode(F.array(*[F.lit(e) for e in ob.ENDPOINTS])).alias("endpoint"))
+    r = r.where("NOT (endpoint = 'dividends' AND q = DATE '1997-07-01')")
+    end = F.last_day(F.add_months("q", F.when(F.month("q") == 1, 4).otherwise(2)))
+    at = F.when((F.col("endpoint") == "dividends") & (F.col("q") == F.lit("1996-07-01").cast("date")), F.col("q") + F.expr("INTERVAL 400 DAYS")).otherwise(F.lit("1995-01-01").cast("timestamp"))
+    return r.select("endpoint", F.col("q").alias("actions_start"), end.alias("actions_end"), at.cast("timestamp").alias("retrieved_at"), F.sha2(F.concat("endpoint", F.col("q").cast("string")), 256).alias("content_hash"), F.concat_ws("-", "endpoint", "q").alias("request_id"))
+
+
 @view("observed", f"""
-WITH a AS (SELECT t.ticker, t.session_date, t.adjusted_close AS close, t.dividends_clean, m.median_dollar_volume_20d, row_number() OVER (PARTITION BY t.ticker ORDER BY t.session_date)-1 AS prior_sessions
- FROM total_return t JOIN (SELECT ticker, session_date, CASE WHEN count(*) OVER w = 20 THEN quantile_cont(coalesce(close,0)*coalesce(volume,0),0.5) OVER w END AS median_dollar_volume_20d FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY session_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) m
+WITH a AS MATERIALIZED (SELECT t.ticker, t.session_date, t.adjusted_close AS close, t.dividends_clean, m.median_dollar_volume_20d, row_number() OVER (PARTITION BY t.ticker ORDER BY t.session_date)-1 AS prior_sessions
+ FROM total_return t JOIN (SELECT ticker, session_date, CASE WHEN count(*) OVER w = 20 THEN median(coalesce(close,0)*coalesce(volume,0)) OVER w END AS median_dollar_volume_20d FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY session_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) m
  ON m.ticker = t.ticker AND m.session_date = t.session_date),
-b AS (SELECT a.*, r.exchange AS exchange_mic, CASE r.raw_type WHEN 'CS' THEN 'common_stock' WHEN 'ADRC' THEN 'adr' END AS security_type, r.composite_figi IS NOT NULL OR r.cik IS NOT NULL AS identity_clean, coalesce(r.composite_figi, r.cik, 'ticker:' || a.ticker) AS security_id,
- dividends_clean AND close IS NOT NULL AS cac, r.currency FROM a ASOF LEFT JOIN refs r ON r.ticker = a.ticker AND a.session_date >= r.snapshot_date),
-c AS (SELECT session_date AS d, bench_close, lead(session_date,1) OVER (ORDER BY session_date) AS t1, lead(session_date,5) OVER (ORDER BY session_date) AS t5, lead(bench_close,1) OVER (ORDER BY session_date) AS b1, lead(bench_close,5) OVER (ORDER BY session_date) AS b5 FROM bench)
-SELECT b.*, c.bench_close, c.b1, c.b5, x.close AS p1, x.dividends_clean AS c1, y.close AS p5, y.dividends_clean AS c5, 'unknown' AS eligibility FROM b JOIN c ON c.d = b.session_date
- LEFT JOIN a x ON x.ticker = b.ticker AND x.session_date = c.t1 LEFT JOIN a y ON y.ticker = b.ticker AND y.session_date = c.t5""")
+b AS MATERIALIZED (SELECT a.*, r.exchange AS exchange_mic, CASE r.raw_type WHEN 'CS' THEN 'common_stock' WHEN 'ADRC' THEN 'adr' END AS security_type, coalesce(r.share_class_figi, r.composite_figi, r.cik) IS NOT NULL AS identity_clean, coalesce(r.share_class_figi, r.composite_figi, r.cik, 'ticker:' || a.ticker) AS security_id,
+ dividends_clean AND close IS NOT NULL AS cac, r.currency FROM a ASOF LEFT JOIN listed r ON r.ticker = a.ticker AND a.session_date >= r.snapshot_date),
+q AS MATERIALIZED (SELECT *, last_value(bench_close IGNORE NULLS) OVER (ORDER BY session_date, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM (SELECT session_date, bench_close, NULL AS cash, 1 AS side FROM bench UNION ALL SELECT event_date, NULL, cash, 0 FROM bench_dividends)),
+p AS MATERIALIZED (SELECT session_date AS d, side, bench_close, coalesce(product(f) OVER w, 1e0) AS factor, coalesce(max(bad) OVER w, 0) = 0 AS ok FROM (SELECT *, CASE WHEN side = 0 AND prev > cash THEN (prev-cash)/prev END AS f, CASE WHEN side = 0 THEN CASE WHEN prev > cash THEN 0 ELSE 1 END END AS bad FROM q)
+ WINDOW w AS (ORDER BY session_date, side ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+e AS MATERIALIZED (SELECT d, CASE WHEN ok THEN bench_close*factor END AS bench_close, ok FROM p WHERE side = 1),
+c AS MATERIALIZED (SELECT d, bench_close, ok, lead(d,1) OVER w AS t1, lead(d,5) OVER w AS t5, lead(bench_close,1) OVER w AS b1, lead(bench_close,5) OVER w AS b5, lead(ok,1) OVER w AS k1, lead(ok,5) OVER w AS k5 FROM e WINDOW w AS (ORDER BY d))
+SELECT b.*, c.bench_close, c.b1, c.b5, x.close AS p1, x.dividends_clean AND c.ok AND c.k1 AS c1, y.close AS p5, y.dividends_clean AND c.ok AND c.k5 AS c5, 'unknown' AS eligibility, n.event_date IS NOT NULL AS dividend_on_session FROM b JOIN c ON c.d = b.session_date
+ LEFT JOIN a x ON x.ticker = b.ticker AND x.session_date = c.t1 LEFT JOIN a y ON y.ticker = b.ticker AND y.session_date = c.t5 LEFT JOIN (SELECT DISTINCT ticker, event_date FROM dividends) n ON n.ticker = b.ticker AND n.event_date = b.session_date""")
 def _observed(v):
-    return ob.build_observations(v.bars, v.refs, v.dividends, v.bench, v.splits)
+    return ob.build_observations(v.bars, v.listed, v.dividends, v.bench, v.splits, coverage=v.action_requests.where("NOT (endpoint = 'dividends' AND year(actions_start) = 1994)").unionByName(
+        v.action_requests.where("endpoint = 'splits' AND actions_start = DATE '1997-07-01'").withColumn("endpoint", F.lit("dividends"))), bench_dividends=v.bench_dividends)
 
 
-OBS = KEY + "security_id:s security_type:s adjusted_close:f bench_close:f median_dollar_volume_20d:f4 prior_sessions:l corporate_actions_clean:b eligibility:s label_status_1:s excess_1:f direction_1:s label_status_5:s excess_5:f direction_5:s"
+OBS = KEY + "security_id:s security_type:s adjusted_close:f bench_close:f median_dollar_volume_20d:f4 prior_sessions:l corporate_actions_clean:b eligibility:s label_status_1:s excess_1:f direction_1:s label_status_5:s excess_5:f direction_5:s dividend_on_session:b"
 
 
 @query("build_observations", OBS, f"SELECT *, close AS adjusted_close, cac AS corporate_actions_clean, {_lab(1)}, {_lab(5)} FROM observed")
@@ -93,21 +123,55 @@ def _hash(*cols):
     return F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in cols]), 256)
 
 
-@query("certify_session", "session_date:d members:l lacking_close:l lacking_reference:l lacking_identifier:l status:s why:s", """
-SELECT *, CASE WHEN why = '' THEN 'ready' ELSE 'blocked' END AS status FROM (SELECT session_date, members, lacking_close, lacking_reference, lacking_identifier, array_to_string(list_filter([CASE WHEN st <> 'complete' THEN 'session missing or incomplete' END, CASE WHEN session_date > DATE '2000-06-30' THEN 'action coverage' END,
+@view("certified", """
+SELECT *, CASE WHEN why = '' THEN 'ready' ELSE 'blocked' END AS status FROM (SELECT session_date, members, lacking_close, lacking_reference, lacking_identifier, array_to_string(list_filter([CASE WHEN st <> 'complete' THEN 'session missing or incomplete' END,
+ CASE WHEN session_date BETWEEN DATE '1997-07-01' AND DATE '1997-09-30' OR session_date BETWEEN DATE '1996-07-01' AND DATE '1996-09-30' THEN 'action coverage' END,
  CASE WHEN lacking_close > 0 THEN 'close' END, CASE WHEN lacking_reference > 0 THEN 'reference' END, CASE WHEN lacking_identifier > 0 THEN 'identifier' END], lambda x: x IS NOT NULL), ';') AS why FROM (
-SELECT a.session_date, any_value(l.status) AS st, count(*) AS members, count(*) FILTER (WHERE bad) AS lacking_close, count(*) FILTER (WHERE NOT bad AND r.ticker IS NULL) AS lacking_reference, count(*) FILTER (WHERE NOT bad AND r.ticker IS NOT NULL AND r.composite_figi IS NULL AND r.cik IS NULL) AS lacking_identifier
-FROM (SELECT *, day(session_date) = 29 OR trades = 9 AS bad FROM raw_bars) a ASOF LEFT JOIN refs r ON r.ticker = a.ticker AND a.session_date >= r.snapshot_date JOIN calendar_log l ON l.session_date = a.session_date GROUP BY 1))""")
+SELECT a.session_date, any_value(l.status) AS st, count(*) AS members, count(*) FILTER (WHERE bad) AS lacking_close, count(*) FILTER (WHERE NOT bad AND r.ticker IS NULL) AS lacking_reference,
+ count(*) FILTER (WHERE NOT bad AND r.ticker IS NOT NULL AND coalesce(r.share_class_figi, r.composite_figi, r.cik) IS NULL) AS lacking_identifier
+FROM (SELECT *, day(session_date) = 29 OR trades = 9 AS bad FROM raw_bars) a ASOF LEFT JOIN listed r ON r.ticker = a.ticker AND a.session_date >= r.snapshot_date JOIN calendar_log l ON l.session_date = a.session_date GROUP BY 1))""")
+def _certified(v):
+    asks, b, refs, sessions = _certifying(v)
+    return ob.certify_sessions(asks, b, refs, sessions, v.action_requests).withColumn("why", F.array_join("failures", ";"))
+
+
+def _certifying(v):
+    day = F.col("session_date").cast("timestamp")
+    b = v.raw_bars.withColumn("fetched_at", F.when(F.col("trades") == 9, F.timestamp_add("HOUR", F.lit(30), day)).otherwise(F.timestamp_add("HOUR", F.lit(21), day))).withColumn("raw_sha256", _hash("ticker", "session_date"))
+    refs = v.listed.withColumn("raw_sha256", _hash("ticker", "snapshot_date"))
+    sessions = v.calendar_log.withColumn("adjusted", F.lit(True)).withColumn("fetched_at", F.timestamp_add("HOUR", F.lit(21), day))
+    return v.raw_bars.select("ticker", "session_date", F.timestamp_add("HOUR", F.lit(22), day).alias("cutoff")), b, refs, sessions
+
+
+@query("certify_session", "session_date:d members:l lacking_close:l lacking_reference:l lacking_identifier:l status:s why:s", "SELECT * FROM certified")
+def _(v):
+    return v.certified
+
+
+@query("certified_members", "session_date:d ticker:s security_id:s active:b", """
+SELECT a.session_date, a.ticker, CASE WHEN share_class_figi IS NOT NULL THEN 'FIGI:' || share_class_figi WHEN composite_figi IS NOT NULL THEN 'FIGI:' || composite_figi ELSE 'CIK:' || cik END AS security_id, active
+FROM (SELECT DISTINCT ticker, session_date FROM raw_bars) a JOIN certified c ON c.session_date = a.session_date AND c.status = 'ready' ASOF JOIN listed r ON r.ticker = a.ticker AND a.session_date >= r.snapshot_date""")
+def _(v):
+    asks, b, refs, _ = _certifying(v)
+    return ob.certified_members(asks, b, refs, v.certified)
+
+
+@query("certified_evidence", "category:s session_date:d n:l", """
+SELECT 'archived_adjusted_close' AS category, session_date, members AS n FROM certified WHERE status = 'ready' UNION ALL SELECT 'corporate_action_coverage', session_date, 2 FROM certified WHERE status = 'ready'""")
+def _(v):
+    asks, b, refs, _ = _certifying(v)
+    rows = ob.certified_evidence(asks, b, refs, v.certified)
+    return rows.groupBy("category", "session_date").agg(F.sum(F.size("content_hashes")).alias("n"))
+
+
+@query("action_coverage", "endpoint:s actions_start:d actions_end:d", """
+WITH r AS (SELECT e AS endpoint, CAST(q AS DATE) AS s, CAST(last_day(CAST(q AS DATE) + to_months(CASE WHEN month(q) = 1 THEN 4 ELSE 2 END)) AS DATE) AS z FROM (SELECT unnest(generate_series(date_trunc('quarter', min(session_date)), max(session_date) + INTERVAL 30 DAY, INTERVAL 3 MONTH)) AS q FROM bench), (SELECT unnest(['splits', 'dividends']) AS e)
+ WHERE NOT (e = 'dividends' AND q = DATE '1997-07-01')),
+m AS (SELECT *, max(z) OVER (PARTITION BY endpoint ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM r),
+n AS (SELECT *, sum(CASE WHEN reached IS NULL OR s - reached > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY endpoint ORDER BY s) AS island FROM m)
+SELECT endpoint, min(s) AS actions_start, max(z) AS actions_end FROM n GROUP BY endpoint, island""")
 def _(v):
-    at = F.timestamp_add("HOUR", F.lit(22), F.col("session_date").cast("timestamp"))
-    b = v.raw_bars.withColumn("fetched_at", F.when(F.col("trades") == 9, F.timestamp_add("HOUR", F.lit(30), F.col("session_date").cast("timestamp"))).otherwise(F.timestamp_add("HOUR", F.lit(21), F.col("session_date").cast("timestamp"))))
-    b = b.withColumn("raw_sha256", _hash("ticker", "session_date"))
-    refs = v.refs.withColumn("raw_sha256", _hash("ticker", "snapshot_date"))
-    sessions = v.calendar_log.withColumn("adjusted", F.lit(True)).withColumn("fetched_at", F.timestamp_add("HOUR", F.lit(21), F.col("session_date").cast("timestamp")))
-    span = F.struct(F.lit("1995-01-01").cast("date").alias("actions_start"), F.lit("2000-06-30").cast("date").alias("actions_end"), F.lit("1995-01-01").cast("timestamp").alias("retrieved_at"))
-    coverage = v.calendar_log.select(span.alias("c")).select("c.*").distinct()
-    c = ob.certify_sessions(v.raw_bars.select("ticker", "session_date", at.alias("cutoff")), b, refs, sessions, coverage)
-    return c.withColumn("why", F.array_join("failures", ";"))
+    return intervals.interval_union(v.action_requests, ["endpoint"], "actions_start", "actions_end")
 
 
 # --- cross-source ----------------------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import policy
 from tidemark.functions import is_hash, session_cutoff, stable_id
 from tidemark.operators import frames, screens
+from tidemark.operators.intervals import first_proof, interval_union, within_islands
 from tidemark.operators.joins import asof_join, calendar_ordinal
 
 
@@ -20,36 +21,64 @@ def forward_label(stock0: Column, stock1: Column, bench0: Column, bench1: Column
     return F.struct(F.when(ok, "ready").otherwise("quarantined").alias("status"), F.when(ok, excess).alias("excess"), F.when(ok, swing).alias("swing"), F.when(ok, direction).alias("direction"))
 
 
+#: Calendar days behind the last session in which actions must be known for its labels.
+LABEL_TAIL = 14
+
+
+def action_range(bars: DataFrame, coverage: DataFrame) -> DataFrame:
+    """One row: whether all endpoints cover the sessions of ``bars`` without a gap, and the label tail behind them."""
+    span = bars.agg(F.min("session_date").alias("_first"), F.max("session_date").alias("_last"))
+    islands = interval_union(coverage, ["endpoint"], "actions_start", "actions_end")
+    asked = span.select(F.explode(F.array(*[F.lit(e) for e in ENDPOINTS])).alias("endpoint"), "_first", "_last", F.date_add("_last", LABEL_TAIL).alias("_tail"))
+    held = within_islands(asked, islands, ["endpoint"], "_first", "_last", "_held", "actions_start", "actions_end")
+    held = within_islands(held, islands, ["endpoint"], "_first", "_tail", "_tailed", "actions_start", "actions_end")
+    return held.agg(F.struct(F.min("_held").alias("range"), F.min("_tailed").alias("tail")).alias("covered"))
+
+
 def build_observations(bars: DataFrame, refs: DataFrame, dividends: DataFrame, bench: DataFrame, splits: DataFrame | None = None, actions_clean: bool = True,
-                       min_volume: float = policy.MIN_MEDIAN_DOLLAR_VOLUME) -> DataFrame:
+                       min_volume: float = policy.MIN_MEDIAN_DOLLAR_VOLUME, coverage: DataFrame | None = None, bench_dividends: DataFrame | None = None) -> DataFrame:
     """One row per bar with point-in-time identity, adjusted close, liquidity, eligibility and labels at t+1 and t+5.
 
     Adjustment, median and row index share the ticker's partitioning; the calendar and the benchmark are small and joined
     on the session. Forward targets follow the benchmark's calendar: a security that did not trade that day has no label.
+    ``coverage`` (see ``action_proofs``) must span the sessions without a gap for actions to be clean, and two weeks more for labels.
+    With ``bench_dividends`` the benchmark is adjusted too, and labels need it clean on both days.
     """
+    covered = action_range(bars, coverage).scalar() if coverage is not None else F.struct(F.lit(True).alias("range"), F.lit(True).alias("tail"))
+    bench = bench.select("session_date", "bench_close")
+    if bench_dividends is not None:
+        own = frames.total_return_adjust(bench.select(F.lit("benchmark").alias("ticker"), "session_date", F.col("bench_close").alias("close")), bench_dividends.select(F.lit("benchmark").alias("ticker"), "event_date", "cash"))
+        bench = own.select("session_date", F.col("adjusted_close").alias("bench_close"), F.col("dividends_clean").alias("bench_clean"))
+    else:
+        bench = bench.withColumn("bench_clean", F.lit(True))
     out = frames.total_return_adjust(bars, dividends)
     out = frames.prior_sessions(frames.median_dollar_volume_20d(out))
-    out = asof_join(out, refs, "ticker", "session_date", "snapshot_date", ["raw_type", "exchange", "currency", "composite_figi", "cik", "snapshot_date"], tie=["active"] if "active" in refs.columns else None)
+    named = ["raw_type", "exchange", "currency", *([c for c in ("share_class_figi",) if c in refs.columns]), "composite_figi", "cik", "snapshot_date"]
+    out = asof_join(out, refs, "ticker", "session_date", "snapshot_date", named, tie=["active"] if "active" in refs.columns else None)
+    ids = [F.col(c) for c in ("share_class_figi", "composite_figi", "cik") if c in named]
     kinds = F.create_map(*[F.lit(x) for kv in policy.SECURITY_TYPES.items() for x in kv])
-    out = (out.drop("matched_ts").withColumn("security_type", F.try_element_at(kinds, F.upper("raw_type"))).withColumn("identity_clean", F.col("composite_figi").isNotNull() | F.col("cik").isNotNull())
-           .withColumn("security_id", F.coalesce("composite_figi", "cik", F.concat(F.lit("ticker:"), "ticker")))
-           .withColumn("corporate_actions_clean", F.lit(actions_clean) & F.col("dividends_clean") & F.col("adjusted_close").isNotNull()).withColumn("cutoff_utc", session_cutoff("session_date")))
+    out = (out.drop("matched_ts").withColumn("security_type", F.try_element_at(kinds, F.upper("raw_type"))).withColumn("identity_clean", F.coalesce(*ids).isNotNull())
+           .withColumn("security_id", F.coalesce(*ids, F.concat(F.lit("ticker:"), "ticker"))).withColumn("_covered", covered)
+           .withColumn("corporate_actions_clean", F.lit(actions_clean) & F.col("_covered.range") & F.col("dividends_clean") & F.col("adjusted_close").isNotNull()).withColumn("cutoff_utc", session_cutoff("session_date")))
     raw = out.withColumnRenamed("close", "raw_close").withColumn("close", F.col("adjusted_close")).withColumn("exchange_mic", F.col("exchange")).withColumn("active", F.lit(True)).withColumn("market_cap", F.lit(None).cast("double"))
     out = screens.investability(raw, min_volume=min_volume)
     pos = calendar_ordinal(bench)
     for n in (1, 5):
         ahead = pos.select((F.col("ordinal") - n).alias("ordinal"), F.col("session_date").alias(f"target_{n}"))
-        goal = (pos.join(ahead, "ordinal").join(bench.withColumnsRenamed({"session_date": f"target_{n}", "bench_close": f"bench_t{n}"}), f"target_{n}").select("session_date", f"target_{n}", f"bench_t{n}"))
+        goal = (pos.join(ahead, "ordinal").join(bench.withColumnsRenamed({"session_date": f"target_{n}", "bench_close": f"bench_t{n}", "bench_clean": f"bench_clean_t{n}"}), f"target_{n}")
+                .select("session_date", f"target_{n}", f"bench_t{n}", f"bench_clean_t{n}"))
         price = out.select("ticker", F.col("session_date").alias(f"target_{n}"), F.col("close").alias(f"close_t{n}"), F.col("dividends_clean").alias(f"clean_t{n}"))
         out = out.join(goal, "session_date", "left").join(price, ["ticker", f"target_{n}"], "left")
     out = out.join(bench, "session_date", "left")
     for n in (1, 5):
-        clean = F.col("corporate_actions_clean") & F.col(f"clean_t{n}")
+        clean = F.col("corporate_actions_clean") & F.col("_covered.tail") & F.col(f"clean_t{n}") & F.col("bench_clean") & F.col(f"bench_clean_t{n}")
         out = out.withColumn(f"label_{n}", forward_label(F.col("close"), F.col(f"close_t{n}"), F.col("bench_close"), F.col(f"bench_t{n}"), n, clean))
     if splits is not None:
         mark = splits.select("ticker", F.col("split_date").alias("session_date")).distinct().withColumn("split_on_session", F.lit(True))
         out = out.join(mark, ["ticker", "session_date"], "left").fillna(False, ["split_on_session"])
-    return out.withColumn("policy_version", F.lit(policy.POLICY_VERSION))
+    paid = dividends.select("ticker", F.col("event_date").alias("session_date")).distinct().withColumn("dividend_on_session", F.lit(True))
+    out = out.join(paid, ["ticker", "session_date"], "left").fillna(False, ["dividend_on_session"])
+    return out.withColumn("label_tail_covered", F.col("_covered.tail")).drop("_covered").withColumn("policy_version", F.lit(policy.POLICY_VERSION))
 
 
 def archive_status(sessions: DataFrame, bars: DataFrame) -> DataFrame:
@@ -80,32 +109,75 @@ def archive_validate(sessions: DataFrame, bars: DataFrame, observations: DataFra
     return out.withColumn("status", F.when(F.size("problems") == 0, "valid").otherwise("incomplete"))
 
 
+#: The two requests without which corporate actions of a session are not known.
+ENDPOINTS = ("splits", "dividends")
+
+
+def judge_members(asks: DataFrame, bars: DataFrame, refs: DataFrame) -> DataFrame:
+    """Every asked (session_date, ticker, cutoff) with its bar ``_b``, its listing reference ``_r``, security_id and ``why`` it fails.
+
+    A ticker needs an adjusted close and a listing reference fetched by the cutoff, each with a content hash, and a stable identifier.
+    """
+    named = [c for c in ("share_class_figi", "composite_figi", "cik", "active", "exchange", "currency", "raw_type", "snapshot_date") if c in refs.columns]
+    asked = asks.select("session_date", "ticker", "cutoff").distinct()
+    j = asked.join(bars.select("ticker", "session_date", F.struct("close", "adjusted", "fetched_at", "raw_sha256").alias("_b")), ["ticker", "session_date"], "left")
+    j = asof_join(j, refs.withColumn("_r", F.struct(*named, "fetched_at", "raw_sha256")), "ticker", "session_date", "snapshot_date", ["_r"], tie=["active"]).drop("matched_ts")
+    bar_ok = F.coalesce(F.col("_b.adjusted") & (F.col("_b.close") > 0) & (F.col("_b.fetched_at") <= F.col("cutoff")) & is_hash("_b.raw_sha256"), F.lit(False))
+    ref_ok = F.coalesce((F.col("_r.fetched_at") <= F.col("cutoff")) & is_hash("_r.raw_sha256"), F.lit(False))
+    share = F.col("_r.share_class_figi") if "share_class_figi" in named else F.lit(None).cast("string")
+    j = j.withColumn("security_id", stable_id(share, "_r.composite_figi", "_r.cik"))
+    return j.withColumn("why", F.when(~bar_ok, "close").when(~ref_ok, "reference").when(F.col("security_id").isNull(), "identifier"))
+
+
+def action_proofs(asks: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Per asked session the earliest request of each endpoint that covers it, and whether all endpoints were fetched by the cutoff.
+
+    ``coverage`` has one row per request: endpoint, actions_start, actions_end, retrieved_at, content_hash, request_id. Splits and
+    dividends are judged apart, and a day between two requests is not covered.
+    """
+    days = asks.groupBy("session_date").agg(F.max("cutoff").alias("cutoff"))
+    valid = coverage.where(F.col("endpoint").isin(*ENDPOINTS) & is_hash("content_hash"))
+    best = first_proof(valid, days, ["endpoint"], "session_date", "retrieved_at", ["request_id", "content_hash", "actions_start", "actions_end"], "actions_start", "actions_end")
+    found = days.join(best, "session_date", "left").groupBy("session_date").agg(
+        F.max("cutoff").alias("cutoff"), F.count_if(F.col("proof.retrieved_at") <= F.col("cutoff")).alias("_timely"),
+        F.sort_array(F.collect_list(F.when(F.col("proof").isNotNull(), F.struct("endpoint", "proof")))).alias("proofs"))
+    return found.withColumn("covered", F.col("_timely") == len(ENDPOINTS)).drop("_timely")
+
+
 def certify_sessions(asks: DataFrame, bars: DataFrame, refs: DataFrame, sessions: DataFrame, coverage: DataFrame) -> DataFrame:
     """All-or-nothing readiness of each asked session: ``asks`` has session_date, cutoff and one row per ticker.
 
-    Every ticker needs an adjusted close and a listing reference fetched by the cutoff, each with a content hash and a
-    stable identifier; action coverage must span the session. One failing ticker blocks the whole session.
+    One failing ticker blocks the whole session, and so do a session that is missing, incomplete or late and actions not covered.
     """
-    b = bars.select("ticker", "session_date", F.col("close").alias("_close"), F.col("adjusted").alias("_adj"), F.col("fetched_at").alias("_bf"), F.col("raw_sha256").alias("_bh"))
-    j = asks.join(b, ["ticker", "session_date"], "left")
-    j = asof_join(j, refs.withColumns({"_rf": F.col("fetched_at"), "_rh": F.col("raw_sha256")}), "ticker", "session_date", "snapshot_date", ["active", "composite_figi", "cik", "_rf", "_rh"], tie=["active"])
-    bar_ok = F.coalesce(F.col("_adj") & (F.col("_close") > 0) & (F.col("_bf") <= F.col("cutoff")) & is_hash("_bh"), F.lit(False))
-    ref_ok = F.coalesce((F.col("_rf") <= F.col("cutoff")) & is_hash("_rh"), F.lit(False))
-    j = j.withColumn("security_id", stable_id(F.lit(None).cast("string"), "composite_figi", "cik"))
-    why = F.when(~bar_ok, "close").when(~ref_ok, "reference").when(F.col("security_id").isNull(), "identifier")
-    per = j.withColumn("_why", why).groupBy("session_date").agg(
-        F.count(F.lit(1)).alias("members"), F.count_if(F.col("_why") == "close").alias("lacking_close"), F.count_if(F.col("_why") == "reference").alias("lacking_reference"),
-        F.count_if(F.col("_why") == "identifier").alias("lacking_identifier"), F.max("cutoff").alias("cutoff"))
+    per = judge_members(asks, bars, refs).groupBy("session_date").agg(
+        F.count(F.lit(1)).alias("members"), F.count_if(F.col("why") == "close").alias("lacking_close"), F.count_if(F.col("why") == "reference").alias("lacking_reference"), F.count_if(F.col("why") == "identifier").alias("lacking_identifier"))
     s = sessions.select("session_date", F.col("status").alias("_status"), F.col("adjusted").alias("_sadj"), F.col("fetched_at").alias("_sf"))
-    c = coverage.agg(F.min("actions_start").alias("_c0"), F.max("actions_end").alias("_c1"), F.max("retrieved_at").alias("_c2"))
-    per = per.join(s, "session_date", "left").withColumn("_cov", c.select(F.struct("_c0", "_c1", "_c2")).scalar())
+    per = per.join(action_proofs(asks, coverage), "session_date").join(s, "session_date", "left")
     session_bad = ~F.coalesce((F.col("_status") == "complete") & F.col("_sadj"), F.lit(False))
     late = ~session_bad & (F.col("_sf") > F.col("cutoff"))
-    cover = F.coalesce((F.col("_cov._c0") <= F.col("session_date")) & (F.col("_cov._c1") >= F.col("session_date")) & (F.col("_cov._c2") <= F.col("cutoff")), F.lit(False))
-    fails = F.array_compact(F.array(F.when(session_bad, F.lit("session missing or incomplete")), F.when(late, F.lit("session fetched late")), F.when(~cover, F.lit("action coverage")),
+    fails = F.array_compact(F.array(F.when(session_bad, F.lit("session missing or incomplete")), F.when(late, F.lit("session fetched late")), F.when(~F.col("covered"), F.lit("action coverage")),
                                     F.when(F.col("lacking_close") > 0, F.lit("close")), F.when(F.col("lacking_reference") > 0, F.lit("reference")), F.when(F.col("lacking_identifier") > 0, F.lit("identifier"))))
     return (per.withColumn("failures", fails).withColumn("status", F.when(F.size("failures") == 0, "ready").otherwise("blocked"))
-            .select("session_date", "members", "lacking_close", "lacking_reference", "lacking_identifier", "status", "failures"))
+            .select("session_date", "members", "lacking_close", "lacking_reference", "lacking_identifier", "status", "failures", "proofs"))
+
+
+def certified_members(asks: DataFrame, bars: DataFrame, refs: DataFrame, certificates: DataFrame) -> DataFrame:
+    """The members of the sessions that are ready, each with its identity and where it comes from; a blocked session has none."""
+    ready = certificates.where("status = 'ready'").select("session_date")
+    j = judge_members(asks, bars, refs).join(ready, "session_date", "left_semi")
+    return j.select("session_date", "ticker", "security_id", F.col("_r.active").alias("active"), F.lit("verified").alias("identity_status"), F.col("_r.fetched_at").alias("identity_available_at"), F.col("_r.active").alias("included"),
+                    F.col("_r").dropFields("fetched_at", "raw_sha256").alias("listing"), F.col("_r.raw_sha256").alias("content_hash"))
+
+
+def certified_evidence(asks: DataFrame, bars: DataFrame, refs: DataFrame, certificates: DataFrame) -> DataFrame:
+    """Evidence behind the sessions that are ready: the close of every member, and the requests that cover the actions."""
+    ready = certificates.where("status = 'ready'")
+    closes = judge_members(asks, bars, refs).join(ready.select("session_date"), "session_date", "left_semi").select(
+        "session_date", "security_id", F.lit("archived_adjusted_close").alias("category"), F.concat_ws(":", "ticker", "session_date").alias("record_key"), F.col("_b.fetched_at").alias("available_at"),
+        F.col("_b.close").alias("close"), F.array("_b.raw_sha256").alias("content_hashes"))
+    actions = ready.select("session_date", F.lit(None).cast("string").alias("security_id"), F.lit("corporate_action_coverage").alias("category"), F.col("session_date").cast("string").alias("record_key"),
+                           F.array_max(F.transform("proofs", lambda p: p["proof"]["retrieved_at"])).alias("available_at"), F.lit(None).cast("double").alias("close"), F.transform("proofs", lambda p: p["proof"]["content_hash"]).alias("content_hashes"))
+    return closes.unionByName(actions)
 
 
 # --- cross-source checks ---------------------------------------------------------------------------------------------
