@@ -14,6 +14,7 @@ packed each; an empty table gives no rows; columns besides ``doc_id`` and ``text
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,30 +29,48 @@ MEMORY = 1_000_000
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+#: A-Z become small letters and ASCII blanks one kind of blank, byte by byte.
+FOLDED = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b"\n\t\r" else b for b in range(256))
+BLANKS = bytes(32 if b in b"\n\t\r" else b for b in range(256))
+MARKS = b".,;:!?)\"'"
+
+
 class WordIds:
     """Ids of a text as the tokenizer gives them, with the ids of each word between ASCII blanks remembered.
 
     The tokenizer splits at white space and drops it, so a text's ids are its words' ids in turn; blanks other than the
-    ASCII ones stay within a word and reach the tokenizer unchanged. The names of special tokens in a text become their ids,
-    as in a plain call; they hold no blanks."""
+    ASCII ones stay within a word and reach the tokenizer unchanged. It also makes letters small and parts letters from what is
+    neither letter nor digit, so words are remembered in small letters and without the marks behind their last letter. The names of
+    special tokens in a text become their ids, as in a plain call; a word with ``<|`` reaches the tokenizer as it is."""
 
     def __init__(self, path: str):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+    def _learn(self, new: list[bytes]) -> None:
+        for first in range(0, len(new), 4096):
+            part = new[first:first + 4096]
+            for word, got in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                self.known[word] = array("I", got.ids).tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.translate(BLANKS if b"<|" in t else FOLDED).split(b" ") for t in texts]
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        new = list({w for row in split for w in row if w not in known})
-        for first in range(0, len(new), 4096):
-            part = new[first:first + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(got.ids, "<u4").tobytes()
+        new = {w for row in split for w in row}.difference(known)
+        marked = {}
+        for w in new:
+            stem = w.rstrip(MARKS)
+            if len(stem) < len(w) and stem and b"<|" not in w and stem[-4:].decode(errors="ignore").lower()[-1:].isalpha():
+                marked[w] = stem
+        stems = {*marked.values(), *(w[len(stem):] for w, stem in marked.items())}.difference(known)
+        self._learn(list((new - marked.keys()) | stems))
+        for w, stem in marked.items():
+            known[w] = known[stem] + known[w[len(stem):]]
         get = known.__getitem__
         return [b"".join(map(get, row)) for row in split]
 
@@ -77,11 +96,11 @@ def _cutter(path: str, capacity: int, end: int):
     def cut(batches):
         encoder = encoder_of(path)
         for batch in batches:
-            ids, text = batch.column("doc_id").to_pylist(), batch.column("text")
-            _, offsets = buffers(text)
+            ids = batch.column("doc_id").to_pylist()
+            data, offsets = buffers(batch.column("text"))
             for a, z in slices(offsets):
                 rows = []
-                texts = [t or "" for t in text.slice(a, z - a).to_pylist()]
+                texts = [data[offsets[i]:offsets[i + 1]].tobytes() for i in range(a, z)]
                 for doc_id, got in zip(ids[a:z], encoder.encode(texts)):
                     got += closing
                     n = len(got) // 4
