@@ -40,17 +40,6 @@ def test_appends_of_two_queries_keep_all_rows(spark, tmp_path):
         assert sorted(r.id for r in spark.read.parquet(f"{path}/*").collect()) == list(range(last))
 
 
-def test_stages_are_judged_in_order_over_large_batches(spark, tmp_path):
-    n = 12_000  # more than one Arrow batch of one case
-    stages = ["possible", "developing", "imminent"]
-    rows = spark.range(n).select(F.lit(1).cast("long").alias("case_id"), F.timestamp_seconds(F.lit(n) - F.col("id")).alias("ts"),
-                                 F.when(F.col("id") < n / 2, "imminent").otherwise("possible").alias("stage"))
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    got = streams.run_to_table(streams.stream_case_stage(stream, stages), str(tmp_path / "t"), str(tmp_path / "cp"))
-    assert got.count() == n and got.filter("NOT accepted").count() == 0
-
-
 def test_an_earlier_failure_does_not_bind_a_later_snapshot(spark):
     day = dt.date
     snaps = spark.createDataFrame([(1, day(2020, 1, 1), "P", False, True), (2, day(2021, 1, 1), "P", True, True), (3, day(2022, 1, 1), "P", True, True)],

@@ -8,8 +8,8 @@ from tidemark.functions import deals, text
 from tidemark.functions.scalars import company_key, domain_allowed, friday_on_or_after, next_weekday, rating_direction, sentences, session_cutoff, signed_log10, squeeze, stable_id, verdict
 from tidemark.operators import league
 from tidemark.session import scratch_dir, spread
-from tidemark.sources import documents as doc, filings
-from tidemark.streaming import streams
+from tidemark.sources import documents as doc, filings, store
+from tidemark.streaming import state, streams
 
 _DEC = "html2"
 for _e, _c in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
@@ -335,15 +335,63 @@ def _(v):
     return both.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 
-@query("stream_case_stage", "case_id:l accepted:l rejected:l", """
-SELECT user_id AS case_id, count(*) FILTER (WHERE p >= coalesce(mx, 0)) AS accepted, count(*) FILTER (WHERE p < coalesce(mx, 0)) AS rejected FROM (
- SELECT *, max(p) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mx FROM (SELECT user_id, ts, CAST(event_id*4 // ((SELECT max(event_id) FROM events)+1) AS BIGINT) - CASE WHEN event_id % 7 = 0 AND event_id*4 // ((SELECT max(event_id) FROM events)+1) > 0 THEN 1 ELSE 0 END AS p FROM events)) GROUP BY 1""")
+@query("stream_case_stage", "case_id:l accepted:l rejected:l items:l", """
+WITH t AS (SELECT CAST(floor(epoch_us(max(ts)) / 1000) AS BIGINT) - 86400000 AS mark, max(event_id) + 1 AS top FROM events),
+e AS (SELECT user_id, ts, CAST(event_id*4 // top AS BIGINT) - CASE WHEN event_id % 7 = 0 AND event_id*4 // top > 0 THEN 1 ELSE 0 END AS p FROM events, t WHERE epoch_us(ts) <= mark * 1000),
+g AS (SELECT *, CASE WHEN date_diff('millisecond', lag(ts) OVER w, ts) > 259200000 THEN 1 ELSE 0 END AS opens FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+h AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS life FROM g),
+j AS (SELECT *, max(p) OVER (PARTITION BY user_id, life ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mx FROM h),
+c AS (SELECT user_id, life, count(*) FILTER (WHERE p >= coalesce(mx, 0)) AS ok, count(*) FILTER (WHERE p < coalesce(mx, 0)) AS bad FROM j GROUP BY 1, 2)
+SELECT user_id AS case_id, sum(ok) AS accepted, sum(bad) AS rejected, max(ok) AS items FROM c GROUP BY 1""")
 def _(v):
-    top = v.table("events").agg(F.max("event_id")).first()[0] + 1
+    """The events in six files that come in turn, not in order; cases idle for three days are closed and opened anew."""
+    e = v.table("events")
+    top = e.agg((F.max("event_id") + 1).alias("top")).scalar()
     stages = ["possible", "developing", "imminent", "confirmed"]
     q = F.floor(F.col("event_id") * 4 / top)
     p = q - F.when((F.col("event_id") % 7 == 0) & (q > 0), 1).otherwise(0)
-    ev = _ticks(v).select(F.col("symbol").alias("case_id"), "ts", F.get(F.array(*[F.lit(s) for s in stages]), p.cast("int")).alias("stage"))
     path = scratch_dir(v.spark)
-    r = streams.run_to_table(streams.stream_case_stage(ev, stages), f"{path}/t", f"{path}/cp")
-    return r.groupBy("case_id").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
+    rows = e.select(F.col("user_id").alias("case_id"), "ts", F.get(F.array(*[F.lit(s) for s in stages]), p.cast("int")).alias("stage"))
+    rows.repartitionByRange(6, "ts").write.parquet(f"{path}/in")
+    stream = streams.read_ticks(v.spark, f"{path}/in", rows.schema)
+    r = streams.run_to_table(state.stream_case_stage(stream, stages, delay="1 day", idle="3 days"), f"{path}/t", f"{path}/cp").where("NOT closed")
+    return r.groupBy("case_id").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"), F.max("items").alias("items"))
+
+
+@query("stream_retained", "symbol:l ts:t price:f", """
+SELECT user_id AS symbol, ts, value AS price FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rank, max(ts) OVER (PARTITION BY user_id) AS newest, max(ts) OVER () AS last FROM events WHERE value > 0)
+WHERE rank <= 5 AND ts >= newest - INTERVAL 3 DAY AND newest >= last - INTERVAL 3 DAY - INTERVAL 1 HOUR""")
+def _(v):
+    """Of every symbol the last five ticks of its last three days; symbols silent for longer are gone."""
+    path = scratch_dir(v.spark)
+    kept = streams.run_to_latest(state.stream_retained(_ticks(v), most=5), ["symbol"], f"{path}/t", f"{path}/cp")
+    return kept.select("symbol", F.explode(F.arrays_zip("times", "prices")).alias("p")).select("symbol", F.col("p.times").alias("ts"), F.col("p.prices").alias("price"))
+
+
+@query("stream_upsert", "event_id:l user_id:l value:f version:l", """
+SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN value*2 ELSE value END AS value, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS version FROM events""")
+def _(v):
+    """Events stored by one query, and a third of them in a later version by another one that runs twice."""
+    path = scratch_dir(v.spark)
+    e = v.table("events").select("event_id", "user_id", "ts", "value").withColumn("version", F.lit(1).cast("long"))
+    later = e.where("event_id % 3 = 0").withColumn("value", F.col("value") * 2).withColumn("version", F.lit(2).cast("long"))
+    for name, rows in (("one", e), ("two", later)):
+        rows.write.parquet(f"{path}/{name}")
+    for source, run in (("one", "a"), ("two", "b"), ("two", "c"), ("one", "d")):
+        stream = v.spark.readStream.schema(e.schema).parquet(f"{path}/{source}")
+        streams.start_upsert(stream, f"{path}/all", f"{path}/cp-{run}", ["event_id"], "ts", f"{path}/counts", version="version").awaitTermination()
+    return store.read_store(v.spark, f"{path}/all", e.schema)
+
+
+@query("stream_upsert_counts", "epoch:l appended:l refused:l", """
+SELECT 0 AS epoch, count(*) AS appended, 0 AS refused FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 1, count(*) FILTER (WHERE event_id % 2 = 1), count(*) FILTER (WHERE event_id % 2 = 0) FROM events""")
+def _(v):
+    """Half of the events appended by one query and all of them by a second: what is stored already is refused."""
+    path = scratch_dir(v.spark)
+    e = v.table("events").select("event_id", "user_id", "ts", "value")
+    e.where("event_id % 2 = 0").write.parquet(f"{path}/one")
+    e.write.parquet(f"{path}/two")
+    for i, source in enumerate(("one", "two")):
+        stream = v.spark.readStream.schema(e.schema).parquet(f"{path}/{source}")
+        streams.start_upsert(stream, f"{path}/all", f"{path}/cp-{source}", ["event_id"], "ts", f"{path}/counts/{i}", order=["value"]).awaitTermination()
+    return v.spark.read.option("recursiveFileLookup", True).parquet(f"{path}/counts/0").withColumn("epoch", F.lit(0)).unionByName(v.spark.read.option("recursiveFileLookup", True).parquet(f"{path}/counts/1").withColumn("epoch", F.lit(1)))

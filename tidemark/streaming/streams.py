@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import time
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.operators.sets import append_if_absent
+from tidemark.sources import store
 
 
 def read_ticks(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -43,11 +41,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def _run(checkpoint: str) -> str:
+    """A name for a query, so that folders written by different queries never collide."""
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+
 def start_append(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]):
     """Append rows whose key is new. Each batch of each query (named by its checkpoint) writes a folder of its own, so a
     batch that is run again after a failure replaces its output instead of repeating it, and a later query with a new
     checkpoint adds to what earlier ones stored."""
-    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    run = _run(checkpoint)
 
     def write(batch: DataFrame, epoch: int):
         own, spark = f"batch-{run}-{epoch}", batch.sparkSession
@@ -65,35 +68,28 @@ def stream_new_filings(filings: DataFrame, known: DataFrame, thresholds: DataFra
 
 
 def start_late_evidence(stream: DataFrame, cutoff, on_time: str, late: str, checkpoint: str):
-    """Split every batch at the recorded cutoff: late evidence is stored and counted beside the state, never in it."""
+    """Split every batch at the recorded cutoff: late evidence is stored and counted beside the state, never in it.
+
+    A batch writes folders named by query and number: run again it replaces its own rows, and never those of another query."""
+    run = _run(checkpoint)
+
     def write(batch: DataFrame, epoch: int):
         mark = F.coalesce(F.col("available_at") > cutoff, F.lit(True))
-        batch.filter(~mark).write.mode("overwrite").parquet(f"{on_time}/batch-{epoch}")
-        batch.filter(mark).write.mode("overwrite").parquet(f"{late}/batch-{epoch}")
+        batch.filter(~mark).write.mode("overwrite").parquet(f"{on_time}/batch-{run}-{epoch}")
+        batch.filter(mark).write.mode("overwrite").parquet(f"{late}/batch-{run}-{epoch}")
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-CASE_SCHEMA = "case_id long, stage string, accepted boolean, items long"
-
+def start_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], day: str, counts: str, version: str | None = None, order: list[str] | None = None):
+    """Bring every batch into a stored table laid out by month and key bucket: with ``version`` the highest of a key stays, else the
+    first stored. A batch reads and rewrites the months and buckets that it touches, and run again it changes nothing. What it added
+    and refused is written under ``counts``."""
+    run = _run(checkpoint)
 
-def stream_case_stage(events: DataFrame, stages: list[str], key="case_id") -> DataFrame:
-    """Stage of every case as events arrive; an event that would move a case backwards is rejected and changes nothing.
-
-    State per case is one position and one counter, however many events the case has.
-    """
-    order = {s: i for i, s in enumerate(stages)}
-
-    def step(case: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, items = state.get if state.exists else (-1, 0)
-        # All of a case's events of one trigger are put in order together, whatever batches they arrive in.
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        place = rows["stage"].map(order).fillna(-1).astype(int).to_numpy()
-        highest = np.maximum.accumulate(np.concatenate([[max(at, 0)], place]))
-        ok = place >= highest[:-1]
-        counted = items + np.cumsum(ok)
-        state.update((int(place[ok][-1]) if ok.any() else at, int(counted[-1])))
-        yield pd.DataFrame({"case_id": case[0], "stage": rows["stage"].to_numpy(), "accepted": ok, "items": counted})
-    return events.groupBy(key).applyInPandasWithState(step, CASE_SCHEMA, "at int, items long", "append", GroupStateTimeout.NoTimeout)
+    def write(batch: DataFrame, epoch: int):
+        done = store.merge_rows(batch, path, keys, day, version=version, order=order)
+        done.withColumn("epoch", F.lit(epoch).cast("long")).coalesce(1).write.mode("overwrite").parquet(f"{counts}/batch-{run}-{epoch}")
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -103,10 +99,15 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 
 def run_to_latest(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
-    """Drive an aggregation in update mode, its state bounded by the watermark; of each key the last version counts."""
+    """Drive a query in update mode, its state bounded by the watermark; of each key the last version counts. Versions of
+    different queries on one path are told apart, and among queries the later batch wins by the time it was written."""
+    run = _run(checkpoint)
+
     def write(batch: DataFrame, epoch: int):
-        batch.withColumn("_epoch", F.lit(epoch).cast("int")).write.mode("overwrite").parquet(f"{path}/batch-{epoch}")
+        stamp = F.struct(F.lit(time.time_ns()).alias("at"), F.lit(epoch).cast("long").alias("epoch"))
+        batch.withColumn("_version", stamp).write.mode("overwrite").parquet(f"{path}/batch-{run}-{epoch}")
     stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     rest = [c for c in stream.columns if c not in keys]
-    stored = stream.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("_epoch", IntegerType())])).parquet(f"{path}/*")
-    return stored.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_epoch").alias("_r")).select(*keys, "_r.*")
+    version = StructField("_version", StructType([StructField("at", LongType()), StructField("epoch", LongType())]))
+    stored = stream.sparkSession.read.schema(StructType([*stream.schema.fields, version])).parquet(f"{path}/*")
+    return stored.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_version").alias("_r")).select(*keys, "_r.*")
