@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import forget, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b), root the smallest node reachable. Nodes are of any ordered type."""
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        edges = stored(_small_star(_large_star(edges)))
+        before, edges = edges, stored(_small_star(_large_star(edges)))
+        forget(before)
         # Done when every node has one link, and it leads to a node that has none.
         busy = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
         open_ends = busy.where("n > 1").limit(1).count() or edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()

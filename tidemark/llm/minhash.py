@@ -5,9 +5,9 @@ smallest and the largest value are kept, so 48 hash evaluations give 96 values,
 are candidates, and every candidate pair that counts is confirmed on the full sets.
 
 1. Documents with equal sets form one class; only classes are compared, so exact copies cost nothing further.
-2. In each band every class meets the band's smallest class. Confirmed links give components.
-3. A band that still holds several components is resolved: classes of different components there are compared too. Pairs
-   within a component need no check, since they cannot change it.
+2. In each band every class meets a hub, the class that shares bands with most others. Confirmed links give components.
+3. A band that still holds several components is resolved in rounds with twice as many hubs each; a hub leaves the band once it has met
+   it. Pairs within a component need no check, since they cannot change it.
 
 At a similarity of 0.8 a pair shares none of the 24 bands with probability 3e-6.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, U64, buffers, for_python, mix, shingle_hashes, slices, span_hashes, stored, unsigned_crc, words
+from tidemark.llm.common import LOWER, U64, buffers, for_python, forget, mix, shingle_hashes, slices, span_hashes, stored, unsigned_crc, words
 from tidemark.llm.components import components
 
 PERMUTATIONS, ROWS, SEED = 48, 4, 20240611
@@ -125,10 +125,12 @@ def _confirm(numerator: int, denominator: int):
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets share at least ``percent`` of a hundred of their union."""
+    """The pairs (hub a, class b) whose full sets share at least ``percent`` of a hundred of their union.
+
+    The set of b travels with its pair. That of a hub is sent once and meets its pairs in a join whose large keys are split."""
     first = sets.select(F.col("class").alias("a"), "s")
     second = sets.select(F.col("class").alias("b"), F.col("s").alias("t"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "s", "t").mapInArrow(_confirm(percent, 100), "a binary, b binary")
+    return pairs.join(second, "b").join(first, "a").select("a", "b", "s", "t").mapInArrow(_confirm(percent, 100), "a binary, b binary")
 
 
 def text_hash() -> Column:
@@ -136,6 +138,44 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
+def _hubs(left: DataFrame, lanes: int) -> DataFrame:
+    """The heaviest class of each lane of each band. An aggregation, so a band of any size is dealt with in parts."""
+    lane = F.pmod(F.xxhash64("class", F.lit(lanes)), F.lit(lanes))
+    hubs = left.groupBy("band", lane.alias("lane")).agg(F.max(F.struct("weight", "class", "n", "root")).alias("hub"))
+    return hubs.select("band", F.col("hub.class").alias("a"), F.col("hub.n").alias("an"), F.col("hub.root").alias("ar"))
+
+
+def _linked(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of all classes that share a band. ``left``: band, class, n, weight, root.
+
+    In each round the classes left in a band meet a few hubs, twice as many as in the round before. Links found merge components; a hub
+    has then met all of its band and leaves it, and a band whose classes are in one component is done. Pairs within a component are
+    never looked at."""
+    roots, lanes = stored(left.select("class", "root").distinct()), 1
+    while left.limit(1).count():
+        hubs = stored(_hubs(left, lanes))
+        fits = F.greatest("n", "an") * percent <= F.least("n", "an") * 100
+        pairs = left.join(hubs, "band").where((F.col("class") != F.col("a")) & (F.col("root") != F.col("ar")) & fits)
+        pairs = stored(pairs.select("a", F.col("class").alias("b")).distinct())
+        links = stored(confirmed(pairs, sets, percent))
+        forget(pairs)
+        new = roots
+        if links.limit(1).count():
+            ends = [roots.select(F.col("class").alias(x), F.col("root").alias(f"{x}r")) for x in "ab"]
+            joined = components(links.join(ends[0], "a").join(ends[1], "b").select(F.col("ar").alias("a"), F.col("br").alias("b")))
+            moved = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+            new = stored(roots.join(moved, "root", "left").select("class", F.coalesce("to", "root").alias("root")))
+        forget(links)
+        rest = left.join(hubs.select("band", F.col("a").alias("class")), ["band", "class"], "left_anti").drop("root").join(new, "class")
+        several = rest.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
+        after = stored(rest.join(several, "band", "left_semi").select("band", "class", "n", "weight", "root"))
+        for spent in (hubs, left, *([roots] if new is not roots else [])):
+            forget(spent)
+        roots, left, lanes = new, after, lanes * 2
+    forget(left)
+    return roots.select(F.col("class").alias("node"), "root")
+
+
 def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Every row with its class, the smallest doc_id of its component and the component's first row."""
     docs = for_python(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", unsigned_crc(F.col("text")).alias("text_crc32"), text_hash().alias("text_hash")))
@@ -144,26 +184,17 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     some = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash"))
     classes = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"), some.alias("text_hash"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     members = classes.select(F.explode("bands").alias("band"), "class", "rep", "text_hash", "n")
-    shared = members.groupBy("band").agg(F.min("class").alias("a"), F.max("class").alias("z"), F.min_by("n", "class").alias("an")).where("a < z")
-    members = stored(members.join(shared.select("band", "a", "an"), "band"))
-    fits = F.greatest("n", "an") * percent <= F.least("n", "an") * 100
-    star = stored(members.where((F.col("class") != F.col("a")) & fits).select("a", F.col("class").alias("b")).distinct())
+    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = stored(members.join(shared, "band"))
+    # A class that shares bands with many others is likely to be what they were copied from, so it is met first.
+    weight = members.groupBy("class").agg(F.sum("c").alias("weight"))
     wanted = members.select("class", "rep", F.col("text_hash").alias("rep_hash")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))
     sets = stored(docs.join(wanted, same).select("text", "class").mapInArrow(_read_sets(shingle), "class binary, s binary").dropDuplicates(["class"]))
-    links = stored(confirmed(star, sets, percent))
-    roots = components(links)
-    # Bands that still hold several components: their classes of different components are compared as well.
-    member = members.select("band", "class", "n").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    member = stored(member)
-    mixed = member.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("q"), F.count(F.lit(1)).alias("c")).where("r < q AND c > 2").select("band")
-    member = member.join(mixed, "band", "left_semi")
-    x, y = member.select("band", F.col("class").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar")), member.select("band", F.col("class").alias("b"), F.col("n").alias("n"), F.col("root").alias("br"))
-    rest = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & fits).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = stored(confirmed(rest, sets, percent))
-    if more.limit(1).count():
-        links = links.unionByName(more)
-        roots = components(links)
+    left = stored(members.join(weight, "class").select("band", "class", "n", "weight", F.col("class").alias("root")))
+    forget(members)
+    roots = _linked(left, sets, percent)
+    forget(sets)
     named = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_crc32", "text_hash")).alias("first"))
     named = named.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("rep").alias("least"), F.min("first").alias("first"))
