@@ -79,6 +79,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def masked(docs: DataFrame) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """The same rows with columns besides doc_id and text renamed by their place, so that none clashes with a name used inside, and
+    the (inner, outer) names in order for ``restored``."""
+    names = [(c if c in ("doc_id", "text") else f"carried_{i}", c) for i, c in enumerate(docs.columns)]
+    return docs.toDF(*(inner for inner, _ in names)), names
+
+
+def restored(docs: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
+    """The columns that ``masked`` renamed, in their order and by their names."""
+    return docs.select(*(F.col(inner) for inner, _ in names)).toDF(*(outer for _, outer in names))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,8 @@ and loses none. The pairs left are verified on the exact shingle texts.
 
 Defined cases: a text of fewer words is one shingle of all its words; texts without words, null texts and items with a
 null id never match; rows that repeat a doc_id or an item_id count as one document or item; documents with a null doc_id
-count as one document; empty tables give no rows; columns besides the ids and ``text`` are not looked at.
+count as one document in ``leaks``, while ``clean`` judges each row by its own text; empty tables give no rows; columns besides the ids and
+``text`` are not looked at, and are carried whatever their names. A very long text is one row of shingle hashes, exploded as it is read.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import masked, restored
+
 #: Rows of sketches that may be broadcast (24 bytes each); a larger benchmark is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -74,7 +77,14 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> D
             .select("doc_id", "item_id", F.col("n").alias("n_item_shingles"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment")))
 
 
+def row_key() -> Column:
+    """Tells rows apart that share a doc_id or have none: the id, the checksum and a hash of the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.crc32(text), F.xxhash64(text))
+
+
 def clean(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
-    found = leaks(docs, items, k, percent).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    """The documents that hold no item, with all their columns. A document is judged by its own text, whatever rows share its id."""
+    hidden, names = masked(docs)
+    found = leaks(hidden.select(row_key().alias("doc_id"), "text"), items, k, percent).select(F.col("doc_id").alias("row_key")).distinct()
+    return restored(hidden.withColumn("own_key", row_key()).join(found, F.col("own_key") == F.col("row_key"), "left_anti"), names)
