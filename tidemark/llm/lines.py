@@ -1,8 +1,8 @@
 """Line deduplication by an exact set-similarity join.
 
 A line's set holds its distinct lower-cased words. Later lines whose set is equal or similar (Jaccard of at least 0.8) to
-an earlier line's are removed; earlier is by (doc_id, line), judged on the input and over the whole corpus. Lines of
-fewer than ``least`` distinct words (8) are left alone: so short, two lines can agree by chance.
+an earlier line's are removed; earlier is by (doc_id, line), judged on the input and over the whole corpus. Lines without words
+are blank and stay; lines of any other length take part (``least`` is 1), and those of fewer than five words go if they are equal.
 
 1. Word frequencies over all lines, and for each distinct set its first line, are found through the parts.
 2. The words of each first line are ordered by rarity (frequency, then hash). If two sets are similar enough, they share a
@@ -18,7 +18,7 @@ per batch. Sets are compared by 64-bit hashes of their words.
 
 Defined cases: a null or empty text is one empty line; a null doc_id stands behind every other one; rows that repeat a
 doc_id are ordered by their place in the batch; removing all lines leaves an empty text; columns besides doc_id and text
-are carried along on request; an empty table gives no rows.
+are carried along on request; an empty table gives no rows. A very long text is a batch of its own.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ NEWLINE, MOST = 10, (1 << 32) - 1
 #: Larger batches repeat fewer words between them.
 BATCH_BYTES = 12 << 20
 #: Sets of one prefix word from which they are compared by matrix products, and the sets in a block of these.
-LARGE, BLOCK = 64, 1024
+LARGE, BLOCK = 1024, 1024
 
 ASKED = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("words", pa.binary()), ("times", pa.binary()), ("keys", pa.binary()), ("docs", pa.binary()), ("lines", pa.binary())])
 ANSWERED = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("times", pa.binary()), ("later", pa.binary())])
@@ -391,7 +391,7 @@ def _rebuild(names: list[str]):
     return run
 
 
-def deduplicate(docs: DataFrame, percent: int = 80, least: int = 8, carried: list[str] = ()) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = 80, least: int = 1, carried: list[str] = ()) -> DataFrame:
     """doc_id, text without the removed lines, the columns carried along, n_lines, n_removed and the places removed."""
     batched, n = in_batches(docs, list(carried), BATCH_BYTES), parts(docs)
     by_batch = batched.groupBy(BATCH)
@@ -409,7 +409,9 @@ def deduplicate(docs: DataFrame, percent: int = 80, least: int = 8, carried: lis
     unsure = near.select(F.col("later").alias("id")).join(sure, "id", "left_anti")
     again = placed.join(unsure, "id", "left_semi").select("part").distinct()
     rest = _confirmed(met.join(again, "part", "left_semi"), placed.join(again, "part", "left_semi"), sets, percent, 8)
-    similar = sure.unionByName(rest.select(F.col("later").alias("id"))).distinct()
+    similar = stored(sure.unionByName(rest.select(F.col("later").alias("id"))).distinct())
+    for spent in (met, placed, sets, near, sure):
+        forget(spent)
     told = gone.select("batch", "gone", F.lit(None).cast("long").alias("id"))
     told = told.unionByName(similar.select(F.shiftright("id", 32).alias("batch"), F.lit(None).cast("binary").alias("gone"), "id"))
     names = ["doc_id", "text", *carried]

@@ -99,14 +99,14 @@ SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_item_shingles, CAST(n_shared AS B
     "op8_lines": r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, 1 + len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
 t AS (SELECT doc_id, pos, line, list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS w FROM l),
-s AS (SELECT w, len(w) AS n, min((doc_id, pos)) AS head, row_number() OVER () AS id FROM t WHERE len(w) >= 8 GROUP BY w),
+s AS (SELECT w, len(w) AS n, min((doc_id, pos)) AS head, row_number() OVER () AS id FROM t WHERE len(w) > 0 GROUP BY w),
 e AS (SELECT id, n, unnest(w) AS g FROM s),
 f AS (SELECT g, count(*) AS c FROM e GROUP BY g),
 r AS (SELECT id, n, g, row_number() OVER (PARTITION BY id ORDER BY c, g) AS k FROM e JOIN f USING (g)),
 p AS (SELECT id, n, g FROM r WHERE k <= n - CAST(ceil(80 * n / 100) AS BIGINT) + 1),
 q AS (SELECT DISTINCT a.id AS x, b.id AS y FROM p a JOIN p b ON a.g = b.g AND a.id <> b.id AND 80 * b.n <= 100 * a.n AND 80 * a.n <= 100 * b.n),
 m AS (SELECT x FROM q JOIN s a ON a.id = x JOIN s b ON b.id = y WHERE a.head > b.head AND 100 * len(list_intersect(a.w, b.w)) >= 80 * (a.n + b.n - len(list_intersect(a.w, b.w)))),
-k AS (SELECT t.doc_id, t.pos, t.line, s.id IS NOT NULL AND (s.head <> (t.doc_id, t.pos) OR s.id IN (SELECT x FROM m)) AS gone FROM t LEFT JOIN s ON s.w = t.w AND len(t.w) >= 8)
+k AS (SELECT t.doc_id, t.pos, t.line, s.id IS NOT NULL AND (s.head <> (t.doc_id, t.pos) OR s.id IN (SELECT x FROM m)) AS gone FROM t LEFT JOIN s ON s.w = t.w AND len(t.w) > 0)
 SELECT doc_id, count(*) AS n_lines, CAST(sum(gone::INT) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM k GROUP BY doc_id""",
     "op10_suffixes": """
 WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
