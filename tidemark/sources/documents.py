@@ -115,3 +115,32 @@ def explode_facts(documents: DataFrame, json="json") -> DataFrame:
     d = documents.select(F.from_json(json, _FACTS).alias("d")).select("d.entity", F.explode("d.facts").alias("taxonomy", "tags")).select("entity", "taxonomy", F.explode("tags").alias("tag", "c"))
     d = d.select("entity", "taxonomy", "tag", F.explode("c.units").alias("unit", "rows")).select("entity", "taxonomy", "tag", "unit", F.explode("rows").alias("r"))
     return d.select("entity", "taxonomy", F.concat_ws(":", "taxonomy", "tag").alias("tag"), "unit", F.to_date("r.start").alias("start"), F.to_date("r.end").alias("end"), "r.val", F.to_date("r.filed").alias("filed"), "r.form", "r.accn")
+
+
+def explode_facts_variant(documents: DataFrame, json="json") -> DataFrame:
+    """Company facts of any taxonomy, tag and unit, one row per fact, with the fact itself as VARIANT.
+
+    No schema is fixed: what a document says beyond the known fields stays in ``fact`` and is read by path. A document that is no JSON, or a
+    level that is no object, gives no rows.
+    """
+    def level(column, kind, *names):
+        return F.explode(F.try_variant_get(column, "$", kind)).alias(*names)
+    d = documents.select(F.try_parse_json(json).alias("v"))
+    d = d.select(F.try_variant_get("v", "$.entity", "string").alias("entity"), F.explode(F.try_variant_get("v", "$.facts", "map<string,variant>")).alias("taxonomy", "tags"))
+    d = d.select("entity", "taxonomy", level("tags", "map<string,variant>", "tag", "body"))
+    units = F.explode(F.try_variant_get("body", "$.units", "map<string,variant>")).alias("unit", "rows")
+    d = d.select("entity", "taxonomy", "tag", F.try_variant_get("body", "$.label", "string").alias("label"), units)
+    return d.select("entity", F.concat_ws(":", "taxonomy", "tag").alias("tag"), "label", "unit", F.explode(F.try_variant_get("rows", "$", "array<variant>")).alias("fact"))
+
+
+def fact_fields(facts: DataFrame) -> DataFrame:
+    """Facts with their usual fields read from the VARIANT; a field of another type is NULL."""
+    def field(name, kind):
+        return F.try_variant_get("fact", f"$.{name}", kind)
+    day = {n: F.to_date(F.try_to_timestamp(field(n, "string"), F.lit("yyyy-MM-dd"))).alias(n) for n in ("start", "end", "filed")}
+    return facts.select(*[c for c in facts.columns if c != "fact"], day["start"], day["end"], field("val", "double").alias("val"), day["filed"], field("form", "string").alias("form"), field("accn", "string").alias("accn"), "fact")
+
+
+def json_schema(documents: DataFrame, json="json", by: list[str] = ()) -> DataFrame:
+    """The schema that holds all documents (of a group), by one aggregation."""
+    return documents.select(*by, F.try_parse_json(json).alias("v")).groupBy(*by).agg(F.schema_of_variant_agg("v").alias("schema"))
