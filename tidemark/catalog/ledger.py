@@ -359,6 +359,10 @@ SELECT f.*, false AS no_ref, a.close AS c0, b.close AS c1, s.close AS sc,
  (SELECT count(*) FROM oc_cal c WHERE c.session_date BETWEEN f.d0 AND f.dend) AS need, (SELECT count(*) FROM oc_days d WHERE d.security_id = 'CIK:' || (f.n+1) AND d.session_date > f.dend AND d.session_date <= f.due) AS sseen, (SELECT count(*) FROM oc_cal c WHERE c.session_date > f.dend AND c.session_date <= f.due) AS sneed
 FROM oc_facts f LEFT JOIN oc_days a ON a.security_id = f.security_id AND a.session_date = f.d0 LEFT JOIN oc_days b ON b.security_id = f.security_id AND b.session_date = f.dend LEFT JOIN oc_days s ON s.security_id = 'CIK:' || (f.n+1) AND s.session_date = f.due))""")
 def _oc_result(v):
+    return lg.capture_outcomes(*_outcome_inputs(v))
+
+
+def _outcome_inputs(v):
     recorded = F.lit(_OCR).cast("timestamp")
     off, t0 = v.oc_off, F.lit("1995-01-01").cast("timestamp")
     ids = v.oc_members.select("security_id").distinct()
@@ -370,7 +374,7 @@ def _oc_result(v):
         "security_id", n.cast("string").alias("accession"), F.when((n % 35 == 0) & (n > 0), F.date_add("delisted_on", 1)).otherwise(F.col("delisted_on")).alias("effective_on"), kind.alias("kind"),
         F.when(kind != "stock", 50.0 + n).alias("cash"), F.when(kind != "stock", "USD").alias("currency"), F.when(kind != "cash", 0.5).alias("ratio"), F.when(kind != "cash", F.concat(F.lit("CIK:"), (n + 1).cast("string"))).alias("successor_id"),
         F.lit(None).cast("string").alias("supersedes"), t0.alias("available_at"), t0.alias("retrieved_at"))
-    return lg.capture_outcomes(v.oc_members, refs, sessions, v.oc_obs, ev, recorded)
+    return v.oc_members, refs, sessions, v.oc_obs, ev, recorded
 
 
 @query("capture_outcomes", "snapshot_id:l security_id:s status:s reason:s total_return:f path_sessions:l", """
@@ -380,6 +384,23 @@ def _(v):
     return v.oc_result
 
 
+@query("capture_renamed_outcomes", "snapshot_id:l security_id:s status:s reason:s total_return:f path_sessions:l", """
+SELECT snapshot_id, security_id, CASE WHEN x THEN 'conflict' ELSE status END AS status, CASE WHEN x THEN 'conflict: identity chain' ELSE reason END AS reason, CASE WHEN x THEN NULL WHEN status IN ('complete','pending') THEN c1/c0-1 WHEN status = 'delisted_complete' THEN (CASE WHEN kind <> 'stock' THEN 50e0+n ELSE 0 END + CASE WHEN kind <> 'cash' THEN 0.5e0*sc ELSE 0 END)/c0-1 END AS total_return,
+ CASE WHEN NOT x AND status IN ('complete','pending','delisted_complete') THEN need END AS path_sessions FROM (SELECT *, n % 13 = 1 AS x FROM oc_result)""")
+def _(v):
+    """The same paths under names that changed twice on the way; every thirteenth name goes round in a circle."""
+    members, refs, sessions, observations, events, recorded = _outcome_inputs(v)
+    day, number = F.col("session_date"), F.substring_index("security_id", ":", -1).cast("bigint")
+    tail = F.when(day > F.lit("1998-06-30").cast("date"), ":c").when(day > F.lit("1997-03-31").cast("date"), ":b").otherwise("")
+    renamed = observations.withColumn("security_id", F.when(number % 13 != 1, F.concat("security_id", tail)).otherwise(F.col("security_id")))
+    ids = members.select("security_id").unionByName(observations.select("security_id")).distinct()
+    at = F.lit("1995-01-01").cast("timestamp").alias("retrieved_at")
+    b, c = F.concat("security_id", F.lit(":b")), F.concat("security_id", F.lit(":c"))
+    steady, circle = ids.where(number % 13 != 1), ids.where(number % 13 == 1)
+    renames = steady.select(F.col("security_id").alias("old_id"), b.alias("new_id"), at).unionByName(steady.select(b.alias("old_id"), c.alias("new_id"), at)).unionByName(circle.select(F.col("security_id").alias("old_id"), b.alias("new_id"), at)).unionByName(circle.select(b.alias("old_id"), F.col("security_id").alias("new_id"), at))
+    return lg.capture_renamed_outcomes(members, refs, sessions, renamed, events, recorded, renames)
+
+
 @query("outcome_states", "status:s members:l", "SELECT status, count(*) AS members FROM oc_result GROUP BY 1")
 def _(v):
     o = v.oc_result.withColumn("recorded_at", F.lit(_OCR).cast("timestamp")).withColumn("outcome_id", F.col("snapshot_id"))

@@ -9,6 +9,7 @@ from tidemark import policy
 from tidemark.functions import session_cutoff, signed_log10
 from tidemark.operators.joins import reaction_session
 from tidemark.operators.quantiles import exact_median
+from tidemark.session import reliable_checkpoint
 from tidemark.operators.scores import cluster_bootstrap
 
 _MONEY = "decimal(38,6)"
@@ -96,6 +97,7 @@ def event_window_stats(windows: DataFrame, minimum: int = policy.MIN_EVENTS, cos
                        interval: bool = True) -> DataFrame:
     """One row per (entry, exit): size, centre, spread, win rate, cost check and a date-clustered interval."""
     by = ["entry_offset", "exit_offset"]
+    windows = reliable_checkpoint(windows.select(*by, "reaction_date", "excess"))  # read by the aggregate, the median and the bootstrap
     out = windows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("events"), F.avg("excess").alias("mean_excess"), F.stddev_pop("excess").alias("spread"),
         F.avg((F.col("excess") > 0).cast("double")).alias("win_rate"), F.min("excess").alias("worst"), F.max("excess").alias("best"))
@@ -113,6 +115,7 @@ def event_window_stats(windows: DataFrame, minimum: int = policy.MIN_EVENTS, cos
 
 def event_study(windows: DataFrame) -> DataFrame:
     """Counts of the whole study: announcements, securities, windows tested and windows that survive costs."""
+    windows = reliable_checkpoint(windows)
     stats = event_window_stats(windows)
     one = F.lit(1).alias("_j")
     events = windows.select("ticker", "event_date").distinct().agg(F.count(F.lit(1)).alias("announcements"), F.count_distinct("ticker").alias("securities"), one)

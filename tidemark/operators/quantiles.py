@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import reliable_checkpoint
+
 
 def exact_median(df: DataFrame, by: list[str], value: str, name: str = "median", accuracy: int = 20_000) -> DataFrame:
     """Exact median per group in two passes of partial aggregation.
 
     A sketch brackets the middle of each group; counts below the bracket give the rank the bracket starts at; only the
     distinct values inside it (about 0.04% of the group) are then ordered. Whether the middle lies inside is checked; a
-    group whose bracket misses it is ordered as a whole, so the sketch decides cost, never the answer.
+    group whose bracket misses it is ordered as a whole in a job of its own, which is planned only if there is one. So the sketch decides
+    cost, never the answer. The values are checkpointed, so what they come from is computed once.
     """
     eps = 4.0 / accuracy
     v = F.col(value)
-    rows = df.filter(v.isNotNull())
+    rows = reliable_checkpoint(df.filter(v.isNotNull()).select(*by, value))
     mid = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx(v, F.lit(0.5 - eps), F.lit(accuracy)).alias("_lo"),
         F.percentile_approx(v, F.lit(0.5 + eps), F.lit(accuracy)).alias("_hi"), F.min(v).alias("_min"), F.max(v).alias("_max"))
-    found = _middle(rows, mid, by, value)
+    mid = reliable_checkpoint(mid)
+    found = reliable_checkpoint(_middle(rows, mid, by, value))
     missed = found.filter("NOT _sure").select(*by)
+    if not missed.limit(1).count():
+        return found.select(*by, F.col("_median").alias(name))
     whole = _middle(rows.join(missed, by, "left_semi"), mid.withColumn("_lo", F.col("_min")).withColumn("_hi", F.col("_max")), by, value)
     return found.filter("_sure").unionByName(whole).select(*by, F.col("_median").alias(name))
 
