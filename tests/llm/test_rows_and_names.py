@@ -30,8 +30,10 @@ def test_stages_carry_columns_of_any_name(spark, tmp_path, stage):
     assert sorted(map(tuple, made.collect())) == sorted(want)
 
 
-def test_many_unlike_classes_of_one_band_are_all_compared(spark):
+def test_many_unlike_classes_of_one_band_are_all_compared(spark, monkeypatch):
     """A template of which every text changes another fifth of the words: few pairs count, and chains join the rest."""
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    monkeypatch.setattr(minhash, "COLUMNS", 100)
     base = [f"t{i}" for i in range(400)]
     rows = []
     for k in range(24):

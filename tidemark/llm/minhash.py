@@ -6,8 +6,8 @@ are candidates, and every candidate pair that counts is confirmed on the full se
 
 1. Documents with equal sets form one class; only classes are compared, so exact copies cost nothing further.
 2. In each band every class meets a hub, the class that shares bands with most others. Confirmed links give components.
-3. A band that still holds several components is resolved in rounds with twice as many hubs each; a hub leaves the band once it has met
-   it. Pairs within a component need no check, since they cannot change it.
+3. Bands that still hold several components, joined into clusters where they share classes, are compared in pairs of blocks of classes by
+   products of incidence matrices. No pair of classes is ever a row; only links that join two components come out.
 
 At a similarity of 0.8 a pair shares none of the 24 bands with probability 3e-6.
 
@@ -27,6 +27,8 @@ from tidemark.llm.common import LOWER, U64, buffers, for_python, forget, mix, sh
 from tidemark.llm.components import components
 
 PERMUTATIONS, ROWS, SEED = 48, 4, 20240611
+#: Classes in a block of a cluster, and columns of an incidence matrix at a time.
+BLOCK, COLUMNS = 512, 8192
 
 
 def permutations(n: int = PERMUTATIONS, seed: int = SEED) -> np.ndarray:
@@ -138,41 +140,117 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def _hubs(left: DataFrame, lanes: int) -> DataFrame:
-    """The heaviest class of each lane of each band. An aggregation, so a band of any size is dealt with in parts."""
-    lane = F.pmod(F.xxhash64("class", F.lit(lanes)), F.lit(lanes))
-    hubs = left.groupBy("band", lane.alias("lane")).agg(F.max(F.struct("weight", "class", "n", "root")).alias("hub"))
-    return hubs.select("band", F.col("hub.class").alias("a"), F.col("hub.n").alias("an"), F.col("hub.root").alias("ar"))
+def _star(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the classes of each band to its hub. An aggregation finds the hub, so a band of any size is dealt with in parts."""
+    hubs = left.groupBy("band").agg(F.max(F.struct("weight", "class", "n")).alias("hub")).select("band", F.col("hub.class").alias("a"), F.col("hub.n").alias("an"))
+    fits = F.greatest("n", "an") * percent <= F.least("n", "an") * 100
+    pairs = stored(left.join(hubs, "band").where((F.col("class") != F.col("a")) & fits).select("a", F.col("class").alias("b")).distinct())
+    links = stored(confirmed(pairs, sets, percent))
+    forget(pairs)
+    return links
+
+
+def _moved(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(class, root) after the components that the links join are one. The links go between classes."""
+    ends = [roots.select(F.col("class").alias(x), F.col("root").alias(f"{x}r")) for x in "ab"]
+    joined = components(links.join(ends[0], "a").join(ends[1], "b").select(F.col("ar").alias("a"), F.col("br").alias("b")))
+    moved = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return stored(roots.join(moved, "root", "left").select("class", F.coalesce("to", "root").alias("root")))
+
+
+def _shared_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of one block shares with each of another, by products of slices of their incidence matrices."""
+    sides = []
+    for sets in (one, two):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        sides.append((row, np.concatenate(sets)))
+    known = np.intersect1d(sides[0][1], sides[1][1])
+    shared = np.zeros((len(one), len(two)), np.float32)
+    places = [np.searchsorted(known, values) for _, values in sides]
+    there = [np.minimum(p, max(len(known) - 1, 0)) for p in places]
+    there = [known[p] == values if len(known) else np.zeros(len(values), bool) for p, (_, values) in zip(there, sides)]
+    for first in range(0, len(known), COLUMNS):
+        slabs = []
+        for (row, _), place, ok, n in zip(sides, places, there, shared.shape):
+            inside = ok & (place >= first) & (place < first + COLUMNS)
+            slab = np.zeros((n, min(COLUMNS, len(known) - first)), np.float32)
+            slab[row[inside], place[inside] - first] = 1
+            slabs.append(slab)
+        shared += slabs[0] @ slabs[1].T
+    return shared
+
+
+def _compare(percent: int):
+    """Links between two blocks of classes of a cluster, as few as join what they join."""
+    def run(tbl: pa.Table) -> pa.Table:
+        first, last = tbl.column("i")[0].as_py(), tbl.column("j")[0].as_py()
+        tbl = tbl.sort_by("class")
+        names, own = np.array(tbl.column("class").to_pylist(), object), np.array(tbl.column("block").to_pylist())
+        sets = [np.frombuffer(s.as_py(), U64) for s in tbl.column("s")]
+        root = np.unique(np.array(tbl.column("root").to_pylist(), object), return_inverse=True)[1]
+        sides = [np.flatnonzero(own == b) for b in (first, last)]
+        out = []
+        if all(len(side) for side in sides):
+            size = [np.array([len(sets[i]) for i in side]) for side in sides]
+            shared = _shared_counts(*([sets[i] for i in side] for side in sides))
+            x, y = np.nonzero(shared * (100 + percent) >= percent * (size[0][:, None] + size[1]))
+            ahead = list(range(root.max() + 1))
+
+            def find(a):
+                while ahead[a] != a:
+                    ahead[a] = a = ahead[ahead[a]]
+                return a
+            x, y = sides[0][x], sides[1][y]
+            new = root[x] != root[y]
+            for i, j in zip(x[new], y[new]):
+                a, b = find(root[i]), find(root[j])
+                if a != b:
+                    ahead[max(a, b)] = min(a, b)
+                    out.append((names[i], names[j]))
+        return pa.table([pa.array([o[k] for o in out], pa.binary()) for k in range(2)], ["a", "b"])
+    return run
+
+
+def _cluster_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the classes of bands that still hold several components.
+
+    Bands that share classes are one cluster, whose classes are cut into blocks; every pair of blocks meets in a group of its own, which
+    holds at most two blocks of sets. Pairs of classes are never rows, and a pair that met in several bands is compared once."""
+    least = left.groupBy("band").agg(F.min("class").alias("b"))
+    edges = left.join(least, "band").select(F.col("class").alias("a"), "b")
+    cluster = components(edges).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
+    classes = stored(left.select("class", "root").distinct().join(cluster, "class"))
+    sizes = classes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    placed = classes.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    meeting = placed.join(sets, "class").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    meeting = meeting.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "root", "s")
+    found = stored(meeting.groupBy("cluster", "i", "j").applyInArrow(_compare(percent), "a binary, b binary"))
+    forget(classes)
+    return found
 
 
 def _linked(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of all classes that share a band. ``left``: band, class, n, weight, root.
-
-    In each round the classes left in a band meet a few hubs, twice as many as in the round before. Links found merge components; a hub
-    has then met all of its band and leaves it, and a band whose classes are in one component is done. Pairs within a component are
-    never looked at."""
-    roots, lanes = stored(left.select("class", "root").distinct()), 1
-    while left.limit(1).count():
-        hubs = stored(_hubs(left, lanes))
-        fits = F.greatest("n", "an") * percent <= F.least("n", "an") * 100
-        pairs = left.join(hubs, "band").where((F.col("class") != F.col("a")) & (F.col("root") != F.col("ar")) & fits)
-        pairs = stored(pairs.select("a", F.col("class").alias("b")).distinct())
-        links = stored(confirmed(pairs, sets, percent))
-        forget(pairs)
-        new = roots
+    """(node, root) of all classes that share a band. ``left``: band, class, n, weight.
+
+    First every class meets its band's hub. Bands whose classes are then in one component are done; those of the others are compared
+    in clusters."""
+    roots = stored(left.select("class", F.col("class").alias("root")).distinct())
+    links = _star(left, sets, percent)
+    if links.limit(1).count():
+        before, roots = roots, _moved(roots, links)
+        forget(before)
+    forget(links)
+    rest = left.select("band", "class").join(roots, "class")
+    several = rest.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
+    rest = stored(rest.join(several, "band", "left_semi"))
+    forget(left)
+    if rest.limit(1).count():
+        links = _cluster_links(rest, sets, percent)
         if links.limit(1).count():
-            ends = [roots.select(F.col("class").alias(x), F.col("root").alias(f"{x}r")) for x in "ab"]
-            joined = components(links.join(ends[0], "a").join(ends[1], "b").select(F.col("ar").alias("a"), F.col("br").alias("b")))
-            moved = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
-            new = stored(roots.join(moved, "root", "left").select("class", F.coalesce("to", "root").alias("root")))
+            before, roots = roots, _moved(roots, links)
+            forget(before)
         forget(links)
-        rest = left.join(hubs.select("band", F.col("a").alias("class")), ["band", "class"], "left_anti").drop("root").join(new, "class")
-        several = rest.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-        after = stored(rest.join(several, "band", "left_semi").select("band", "class", "n", "weight", "root"))
-        for spent in (hubs, left, *([roots] if new is not roots else [])):
-            forget(spent)
-        roots, left, lanes = new, after, lanes * 2
-    forget(left)
+    forget(rest)
     return roots.select(F.col("class").alias("node"), "root")
 
 
@@ -191,7 +269,7 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     wanted = members.select("class", "rep", F.col("text_hash").alias("rep_hash")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))
     sets = stored(docs.join(wanted, same).select("text", "class").mapInArrow(_read_sets(shingle), "class binary, s binary").dropDuplicates(["class"]))
-    left = stored(members.join(weight, "class").select("band", "class", "n", "weight", F.col("class").alias("root")))
+    left = stored(members.join(weight, "class").select("band", "class", "n", "weight"))
     forget(members)
     roots = _linked(left, sets, percent)
     forget(sets)
