@@ -183,27 +183,27 @@ def _(v):
 
 
 @view("owned", """
-SELECT portfolio, a.symbol, value/sum(value) OVER (PARTITION BY portfolio)*100 AS weight, a.score, a.confidence, a.action, p.sector, (CAST(a.symbol AS BIGINT) % 100)/100e0 AS average_correlation, CAST(CAST(a.symbol AS BIGINT) % 40 AS DOUBLE) AS risk_contribution
-FROM positions p JOIN assessed a USING (symbol)""")
+SELECT portfolio, a.symbol, value/sum(value) OVER (PARTITION BY portfolio)*100 AS weight, a.score, a.confidence, a.action, p.sector, (CAST(a.symbol AS BIGINT) % 100)/100e0 AS average_correlation, CAST(CAST(a.symbol AS BIGINT) % 40 AS DOUBLE) AS risk_contribution,
+ CASE CAST(a.symbol AS BIGINT) % 9 WHEN 0 THEN 'fund' WHEN 4 THEN 'crypto' ELSE 'stock' END AS instrument FROM positions p JOIN assessed a USING (symbol)""")
 def _owned(v):
     j = v.positions.join(v.assessed.select("symbol", "score", "confidence", "action"), "symbol")
     t = j.groupBy("portfolio").agg(F.sum("value").alias("t"))
     k = F.col("symbol").cast("bigint")
     return j.join(t, "portfolio").select("portfolio", "symbol", (F.col("value") / F.col("t") * 100).alias("weight"), "score", "confidence", "action", "sector", ((k % 100) / 100.0).alias("average_correlation"),
-                                         (k % 40).cast("double").alias("risk_contribution"))
+                                         (k % 40).cast("double").alias("risk_contribution"), F.when(k % 9 == 0, league.FUND).when(k % 9 == 4, league.CRYPTO).otherwise("stock").alias("instrument"))
 
 
 @query("weight_review", "portfolio:s symbol:s weight:f neutral:f review:s", """
-SELECT *, CASE WHEN weight > neutral*2 OR (weight > neutral*1.5 AND (coalesce(score < 55, false) OR confidence = 'Low' OR average_correlation >= 0.75 OR risk_contribution > weight*1.5)) THEN 'over'
- WHEN weight < neutral*0.5 AND score >= 70 AND confidence <> 'Low' AND average_correlation < 0.75 THEN 'under' ELSE 'balanced' END AS review FROM (SELECT *, avg(weight) OVER (PARTITION BY portfolio) AS neutral FROM owned WHERE weight > 0)""")
+SELECT *, CASE WHEN score IS NULL OR neutral IS NULL OR instrument <> 'stock' THEN 'separate' WHEN weight > neutral*2 OR (weight > neutral*1.5 AND (coalesce(score < 55, false) OR confidence = 'Low' OR average_correlation >= 0.75 OR risk_contribution > weight*1.5)) THEN 'over'
+ WHEN weight < neutral*0.5 AND score >= 70 AND confidence <> 'Low' AND average_correlation < 0.75 THEN 'under' ELSE 'balanced' END AS review FROM (SELECT *, avg(weight) FILTER (WHERE weight > 0 AND instrument = 'stock') OVER (PARTITION BY portfolio) AS neutral FROM owned)""")
 def _(v):
     return league.weight_review(v.owned)
 
 
 @query("compare_opportunity", "portfolio:s symbol:s advantage:f kind:s weakest:s", """
-SELECT i.portfolio, i.symbol, i.score - w.s AS advantage, w.w AS weakest, CASE WHEN i.score - w.s >= 8 THEN 'replacement' WHEN coalesce(c.sw, 0) < 8 THEN 'diversification' ELSE 'watch' END AS kind
+SELECT i.portfolio, i.symbol, i.score - w.x.score AS advantage, w.x.symbol AS weakest, CASE WHEN i.score - w.x.score >= 8 THEN 'replacement' WHEN coalesce(c.sw, 0) < 8 THEN 'diversification' ELSE 'watch' END AS kind
 FROM (SELECT 'P' || o_custkey AS portfolio, a.symbol, a.score, m.sector FROM orders JOIN assessed a ON a.symbol = CAST(o_orderkey AS VARCHAR) JOIN metrics m ON m.symbol = a.symbol) i
-LEFT JOIN (SELECT portfolio, arg_min(symbol, (CASE action WHEN 'Sell' THEN 0 WHEN 'Hold' THEN 1 WHEN 'Buy' THEN 2 ELSE 3 END, coalesce(score, 50), symbol)) AS w, arg_min(coalesce(score, 50), (CASE action WHEN 'Sell' THEN 0 WHEN 'Hold' THEN 1 WHEN 'Buy' THEN 2 ELSE 3 END, coalesce(score, 50), symbol)) AS s FROM owned GROUP BY 1) w ON w.portfolio = i.portfolio
+LEFT JOIN (SELECT portfolio, arg_min({'symbol': symbol, 'score': score}, (CASE action WHEN 'Sell' THEN 0 WHEN 'Hold' THEN 1 WHEN 'Buy' THEN 2 ELSE 3 END, coalesce(score, 50), symbol)) AS x FROM owned WHERE weight > 0 AND instrument <> 'fund' GROUP BY 1) w ON w.portfolio = i.portfolio
 LEFT JOIN (SELECT portfolio, sector, sum(weight) AS sw FROM owned GROUP BY 1, 2) c ON c.portfolio = i.portfolio AND c.sector = i.sector""")
 def _(v):
     ideas = (v.table("orders").select(F.concat(F.lit("P"), F.col("o_custkey").cast("string")).alias("portfolio"), F.col("o_orderkey").cast("string").alias("symbol"))

@@ -179,22 +179,34 @@ def assess_company(m: DataFrame) -> DataFrame:
                         .when((c("confidence") == "High") & good, F.when(F.coalesce(ultra, F.lit(False)), "Ultra Buy").otherwise("Buy")).otherwise("Hold"))
 
 
+#: Instruments that are no companies: they count neither as holdings of the neutral weight nor as ranked ones.
+FUND, CRYPTO = "fund", "crypto"
+
+
 def weight_review(positions: DataFrame, portfolio="portfolio") -> DataFrame:
-    """Over, under or balanced against the neutral (equal) company weight of the portfolio."""
+    """Over, under or balanced against the neutral weight of the portfolio, the mean weight of its companies; funds, coins and companies
+    without a rank are reviewed separately."""
     c = F.col
-    n = positions.filter("weight > 0").groupBy(portfolio).agg(F.avg("weight").alias("neutral"))
+    company = (c("weight") > 0) & ~F.coalesce(c("instrument").isin(FUND, CRYPTO), F.lit(False))
+    n = positions.filter(company).groupBy(portfolio).agg(F.avg("weight").alias("neutral"))
     overlap, heavy = F.coalesce(c("average_correlation") >= 0.75, F.lit(False)), F.coalesce(c("risk_contribution") > c("weight") * 1.5, F.lit(False))
     over = (c("weight") > c("neutral") * 2) | ((c("weight") > c("neutral") * 1.5) & ((c("score") < 55) | (c("confidence") == "Low") | overlap | heavy))
     under = (c("weight") < c("neutral") * 0.5) & (c("score") >= 70) & (c("confidence") != "Low") & ~overlap
-    return positions.join(n, portfolio).withColumn("review", F.when(F.coalesce(over, F.lit(False)), "over").when(F.coalesce(under, F.lit(False)), "under").otherwise("balanced"))
+    separate = c("score").isNull() | c("neutral").isNull() | F.coalesce(c("instrument").isin(FUND, CRYPTO), F.lit(False))
+    review = F.when(separate, "separate").when(F.coalesce(over, F.lit(False)), "over").when(F.coalesce(under, F.lit(False)), "under").otherwise("balanced")
+    return positions.join(n, portfolio, "left").withColumn("review", review)
 
 
 def compare_opportunity(ideas: DataFrame, owned: DataFrame, portfolio="portfolio") -> DataFrame:
-    """Replacement of the weakest holding, diversification, or watch. ``ideas`` has portfolio, symbol, score, sector."""
+    """Replacement of the weakest holding that is no fund, diversification, or watch. ``ideas`` has portfolio, symbol, score, sector.
+
+    A holding without a score stands in the middle of its action's holdings, but nothing is known to be better than it."""
     order = F.create_map(*[F.lit(x) for x in ("Sell", 0, "Hold", 1, "Buy", 2, "Ultra Buy", 3)])
-    weakest = owned.groupBy(portfolio).agg(F.min(F.struct(F.try_element_at(order, F.col("action")).alias("a"), F.coalesce("score", F.lit(50.0)).alias("s"), F.col("symbol").alias("w"))).alias("_w"))
+    held = owned.where((F.col("weight") > 0) & ~F.coalesce(F.col("instrument") == FUND, F.lit(False)))
+    place = F.struct(F.try_element_at(order, F.col("action")).alias("a"), F.coalesce("score", F.lit(50.0)).alias("s"), F.col("symbol").alias("w"), F.col("score").alias("known"))
+    weakest = held.groupBy(portfolio).agg(F.min(place).alias("_w"))
     sector = owned.groupBy(portfolio, "sector").agg(F.sum("weight").alias("sector_weight"))
     j = ideas.join(weakest, portfolio, "left").join(sector, [portfolio, "sector"], "left")
-    gain = F.col("score") - F.col("_w.s")
+    gain = F.col("score") - F.col("_w.known")
     kind = F.when(gain >= 8, "replacement").when(F.coalesce("sector_weight", F.lit(0.0)) < 8, "diversification").otherwise("watch")
     return j.withColumn("advantage", gain).withColumn("kind", kind).withColumn("weakest", F.col("_w.w")).drop("_w")
