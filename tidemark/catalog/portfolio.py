@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import query
 from tidemark.catalog.views import view
-from tidemark.operators import frames, portfolio as pf
+from tidemark.operators import blockmatrix, frames, portfolio as pf
+from tidemark.session import reliable_checkpoint
 
 ANCHORS, RESERVE = ["1", "5", "9"], ["3"]
 
@@ -177,14 +178,14 @@ VAR = """SELECT a.portfolio, sum(a.weight/100*b.weight/100*c.cov) AS variance FR
 
 @query("portfolio_variance", "portfolio:s variance:f", VAR)
 def _(v):
-    return pf.portfolio_variance(v.weights, v.cov, pf.asset_list(v.monthly, "symbol"))
+    return blockmatrix.variances(blockmatrix.held_products(v.weights, v.cov))
 
 
 @query("risk_contribution", "portfolio:s symbol:s risk_contribution:f", f"""
 SELECT m.portfolio, m.symbol, any_value(m.weight)/100*sum(b.weight/100*c.cov)/any_value(q.variance)*100 AS risk_contribution
 FROM weights m JOIN weights b ON m.portfolio = b.portfolio JOIN cov c ON c."left" = m.symbol AND c."right" = b.symbol JOIN ({VAR}) q ON q.portfolio = m.portfolio WHERE variance > 0 GROUP BY 1, 2""")
 def _(v):
-    return pf.risk_contributions(v.weights, v.cov, pf.asset_list(v.monthly, "symbol"))
+    return blockmatrix.contributions(reliable_checkpoint(blockmatrix.held_products(v.weights, v.cov)))
 
 
 @query("avg_correlation", "portfolio:s symbol:s average_correlation:f", """
