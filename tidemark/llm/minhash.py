@@ -13,7 +13,7 @@ At a similarity of 0.8 a pair shares none of the 24 bands with probability 3e-6.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; a shorter text is one shingle
 of all its words; rows that repeat a doc_id are rows of their own, each in the component of its own set; a null doc_id
-names no component, but its text links others as any text does; an empty table gives no rows; columns besides ``doc_id`` and ``text`` are not looked at.
+names no component, but its text links others as any text does; a very long text is one set, made in a slice of its own; an empty table gives no rows; columns besides ``doc_id`` and ``text`` are not looked at.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ as the bits of one integer, finds the fullest combination for the rest. The comb
 allow and its pieces are removed.
 
 Defined cases: a null or empty text is the closing id alone; a null ``doc_id`` is carried along; repeated rows are
-packed each; an empty table gives no rows; columns besides ``doc_id`` and ``text`` are not looked at.
+packed each; a very long text is encoded whole, in a slice of its own, and then cut; an empty table gives no rows; columns besides ``doc_id`` and ``text`` are not looked at.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ document is compared with all of them by blocked matrix products, and its neares
 
 Only the text enters a score. Defined cases: a null text is an empty one; a text without terms, or like no
 labelled one, gets the share of label 1 in the sample; rows with a null label teach nothing; a document labelled twice counts with its larger label; without any
-labelled row every score is 0.5; repeated rows are scored each; other columns are ignored.
+labelled row every score is 0.5; repeated rows are scored each; a very long text is counted
+whole, in a slice of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ places until no such step brings the heaviest and the lightest shard closer. Rec
 Only one row per slot reaches the driver, so that side is bounded by the number of slots and not by the data.
 
 Defined cases: a null text has size 1; a null ``doc_id`` hashes like a value; repeated rows share a slot and get
-different places; an empty table gives no rows; columns besides ``doc_id`` and ``text`` are not looked at.
+different places; equal texts under different ids are records of their own and may lie in different shards, as the law balances bytes
+alone; a very long text weighs what it has and is never cut; an empty table gives no rows; columns besides ``doc_id`` and ``text`` are not looked at.
 """
 
 from __future__ import annotations
