@@ -25,7 +25,7 @@ from tidemark.llm.common import buffers, for_python, shuffle_width, slices, stor
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers; only time depends on it.
-MEMORY = 1_000_000
+MEMORY = 400_000
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
