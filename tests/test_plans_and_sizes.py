@@ -12,9 +12,16 @@ def _plan(df):
 
 def test_the_planner_knows_how_many_daily_bars_there_are(spark):
     bars = Views(spark, SMALL).dense_bars
-    assert int(_plan(bars).stats().sizeInBytes().toString()) > 8 * bars.count()
+    assert int(str(_plan(bars).stats().sizeInBytes())) > 8 * bars.count()
 
 
 def test_movers_number_the_calendar_once(spark):
     plan = _plan(JOBS["daily_movers"](spark, SMALL)).toString()
     assert "l_shipdate" not in plan
+
+
+def test_outcomes_read_their_inputs_before_the_last_step(spark):
+    plan = _plan(JOBS["capture_outcomes"](spark, SMALL)).toString()
+    assert "Relation [" not in plan
+    observations = Views(spark, SMALL).oc_obs
+    assert int(str(_plan(observations).stats().sizeInBytes())) > 8 * observations.count()
