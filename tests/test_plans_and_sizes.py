@@ -1,6 +1,7 @@
 """What plans cost: sizes the planner can judge, shared steps that are computed once, lists that stay short."""
 
-from tidemark.catalog.all import JOBS
+from tests.oracle import compare, connect
+from tidemark.catalog.all import JOBS, oracle_texts
 from tidemark.catalog.views import Views
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -25,3 +26,8 @@ def test_outcomes_read_their_inputs_before_the_last_step(spark):
     assert "Relation [" not in plan
     observations = Views(spark, SMALL).oc_obs
     assert int(str(_plan(observations).stats().sizeInBytes())) > 8 * observations.count()
+
+
+def test_renamed_outcomes_equal_their_sql(spark):
+    con = connect(SMALL)
+    assert compare(JOBS["capture_renamed_outcomes"](spark, SMALL), con, oracle_texts()["capture_renamed_outcomes"]) is None
