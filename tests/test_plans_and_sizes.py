@@ -1,10 +1,13 @@
 """What plans cost: sizes the planner can judge, shared steps that are computed once, lists that stay short."""
 
+from pyspark.sql import functions as F
+
 from tests.oracle import compare, connect
 from tidemark.catalog.all import JOBS, oracle_texts
 from tidemark.catalog.views import Views
+from tidemark.plans import hashtree
 
-SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
 
 def _plan(df):
@@ -31,3 +34,10 @@ def test_outcomes_read_their_inputs_before_the_last_step(spark):
 def test_renamed_outcomes_equal_their_sql(spark):
     con = connect(SMALL)
     assert compare(JOBS["capture_renamed_outcomes"](spark, SMALL), con, oracle_texts()["capture_renamed_outcomes"]) is None
+
+
+def test_lists_of_proofs_stay_short_when_rows_are_many(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(hashtree, "proofs", lambda *a, whole=hashtree.proofs: seen.append(whole(*a)) or seen[-1])
+    assert JOBS["audit_proofs"](spark, LARGE).where("NOT proven").count() == 0
+    assert seen[0].agg(F.max(F.size("entries")).alias("n")).first().n <= 2 * hashtree.BLOCK

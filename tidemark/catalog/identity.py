@@ -91,9 +91,10 @@ def _(v):
 
 @query("audit_proofs", "digest:s proven:b", "SELECT DISTINCT digest, true AS proven FROM order_hashes WHERE o_orderkey % 100 = 0")
 def _(v):
-    tree = hashtree.hash_tree(v.order_hashes, "digest", DEPTH)
+    depth = hashtree.depth_for(v.order_hashes.count())
+    tree = hashtree.hash_tree(v.order_hashes, "digest", depth)
     root = hashtree.tree_root(tree).select("root").scalar()
-    return hashtree.proven(hashtree.proofs(v.order_hashes, "digest", tree, v.order_hashes.where("o_orderkey % 100 = 0"), DEPTH), root, DEPTH)
+    return hashtree.proven(hashtree.proofs(v.order_hashes, "digest", tree, v.order_hashes.where("o_orderkey % 100 = 0"), depth), root, depth)
 
 
 # --- ranks -----------------------------------------------------------------------------------------------------------

@@ -37,9 +37,10 @@ def hash_tree(digests: DataFrame, digest: str, depth: int) -> DataFrame:
     leaves = digests.groupBy(F.col(digest).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
     level = leaves.groupBy(F.substring("digest", 1, depth).alias("prefix")).agg(_sealed(F.sort_array(F.collect_list(_entry("digest", "n")))).alias("hash"), F.sum("n").alias("rows"))
     level = tree = reliable_checkpoint(level.select(F.lit(depth).alias("level"), "prefix", "hash", "rows"))
+    # Every level is computed from the one below it, once.
     for d in range(depth - 1, -1, -1):
         above = level.groupBy(F.substring("prefix", 1, d).alias("prefix")).agg(_sealed(F.sort_array(F.collect_list(_entry("prefix", "hash")))).alias("hash"), F.sum("rows").alias("rows"))
-        level = above.select(F.lit(d).alias("level"), "prefix", "hash", "rows")
+        level = reliable_checkpoint(above.select(F.lit(d).alias("level"), "prefix", "hash", "rows"))
         tree = tree.unionByName(level)
     return tree
 
@@ -68,7 +69,9 @@ def differing_blocks(one: DataFrame, two: DataFrame, depth: int) -> tuple[DataFr
 
 
 def proofs(digests: DataFrame, digest: str, tree: DataFrame, wanted: DataFrame, depth: int) -> DataFrame:
-    """(digest, level, prefix, entries) for every wanted digest: the entries of its leaf block, and of each node above it."""
+    """(digest, level, prefix, entries) for every wanted digest: the entries of its leaf block, and of each node above it.
+
+    Every wanted digest carries its lists, so they are short only in a tree of the depth that ``depth_for`` gives."""
     leaves = digests.groupBy(F.col(digest).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
     asked = wanted.select(F.col(digest).alias("digest")).distinct()
     paths = asked.select("digest", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")).withColumn("prefix", F.expr("substring(digest, 1, level)"))
@@ -81,9 +84,12 @@ def proofs(digests: DataFrame, digest: str, tree: DataFrame, wanted: DataFrame,
 
 def proven(proof: DataFrame, root: Column, depth: int) -> DataFrame:
     """(digest, proven): whether each list holds the hash of the list below it, the lowest one the digest, and the top one hashes to the root."""
-    p = proof.withColumn("hash", _sealed(F.col("entries")))
-    w = Window.partitionBy("digest").orderBy("level")
+    # A list is hashed and searched where it lies; only its hash and the entry on the way down go to where the levels meet.
+    child = F.expr("substring(digest, 1, level + 1)")
     lowest = F.exists("entries", lambda e: F.substring_index(e, ":", 1) == F.col("digest"))
+    step = F.filter("entries", lambda e: F.substring_index(e, ":", 1) == child)
+    p = proof.select("digest", "level", "prefix", _sealed(F.col("entries")).alias("hash"), F.when(F.col("level") == depth, lowest).alias("lowest"), F.when(F.col("level") < depth, step).alias("step"))
+    w = Window.partitionBy("digest").orderBy("level")
     below = p.withColumn("_next", F.concat_ws(":", F.lead("prefix").over(w), F.lead("hash").over(w)))
-    ok = F.when(F.col("level") == depth, lowest).otherwise(F.array_contains("entries", F.col("_next"))) & ((F.col("level") > 0) | (F.col("hash") == root))
+    ok = F.when(F.col("level") == depth, F.col("lowest")).otherwise(F.array_contains("step", F.col("_next"))) & ((F.col("level") > 0) | (F.col("hash") == root))
     return below.groupBy("digest").agg((F.min(ok.cast("int")) == 1).alias("whole"), F.count(F.lit(1)).alias("n")).select("digest", (F.col("whole") & (F.col("n") == depth + 1)).alias("proven"))
