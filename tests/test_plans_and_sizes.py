@@ -1,5 +1,6 @@
 """What plans cost: sizes the planner can judge, shared steps that are computed once, lists that stay short."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tests.oracle import compare, connect
@@ -41,3 +42,13 @@ def test_lists_of_proofs_stay_short_when_rows_are_many(spark, monkeypatch):
     monkeypatch.setattr(hashtree, "proofs", lambda *a, whole=hashtree.proofs: seen.append(whole(*a)) or seen[-1])
     assert JOBS["audit_proofs"](spark, LARGE).where("NOT proven").count() == 0
     assert seen[0].agg(F.max(F.size("entries")).alias("n")).first().n <= 2 * hashtree.BLOCK
+
+
+def test_visible_text_equals_its_sql_on_odd_references(spark, tmp_path):
+    pages = ["a&amp <p title='x>y'>b", "&#128; &#0; &#9999999; &#xD800; &copy 2024", "&notit; &notin; &amp;lt; &AMP &amp", "&#x1F600; &#128512 &#00000000065; &#x000041;", "&unknown; & &; &#; &#x; &&&amp;amp;",
+             "&#xFFFFFFFFFFFFFFFFFFFF;&#1;&#127;&#xFFFF;x", "", None, "<script>var a='<b>';</script >t<style>p{}</style><!-- c -->&nbsp;&eacute;&eacute", "<a \"q>t", "no reference  "]
+    frame = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    frame.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert compare(JOBS["html_to_text"](spark, str(tmp_path)), con, oracle_texts()["html_to_text"]) is None

@@ -1,5 +1,7 @@
 """Queries over text extraction, document loaders and the streaming jobs. Documents are written from the given tables."""
 
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import query
@@ -11,14 +13,35 @@ from tidemark.session import scratch_dir, spread
 from tidemark.sources import documents as doc, filings, store
 from tidemark.streaming import state, streams
 
-_DEC = "html2"
-for _e, _c in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")):
-    _DEC = f"replace({_DEC}, '&{_e};', '{_c}')"
+def _quoted(words) -> str:
+    return "[" + ",".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+_BARE = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=len, reverse=True))
+_WINDOWS = {i: bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+_CHAR = f"""CASE WHEN code IS NULL OR code = 0 OR code BETWEEN 55296 AND 57343 OR code > 1114111 THEN chr(65533)
+ WHEN code IN ({", ".join(str(i) for i in _WINDOWS)}) THEN list_extract({_quoted(_WINDOWS.values())}, list_position([{",".join(str(i) for i in _WINDOWS)}], code))
+ WHEN code BETWEEN 1 AND 8 OR code = 11 OR code BETWEEN 14 AND 31 OR code BETWEEN 127 AND 159 OR code BETWEEN 64976 AND 65007 OR code & 65534 = 65534 THEN '' ELSE chr(CAST(code AS INTEGER)) END"""
+
+
+def _decoded_sql(source: str) -> str:
+    """The references of one text column (r, t) decoded once: pieces that start at an ampersand, each by the rule of the HTML standard."""
+    return f"""SELECT r, string_agg(CASE WHEN i = 1 THEN piece WHEN numeric THEN ({_CHAR}) || regexp_replace(piece, '^#([xX][0-9a-fA-F]+|[0-9]+);?', '')
+ WHEN w.value IS NOT NULL THEN w.value || substr(piece, length(name) + 1) WHEN b.value IS NOT NULL THEN b.value || substr(piece, length(bare) + 1) ELSE '&' || piece END, '' ORDER BY i) AS t FROM (
+ SELECT *, regexp_matches(piece, '^#([xX][0-9a-fA-F]|[0-9])') AS numeric, regexp_extract(piece, '^([^\t\n\f <&#;]{{1,32}};?)', 1) AS name, regexp_extract(piece, '^({_BARE})', 1) AS bare,
+  CASE WHEN regexp_matches(piece, '^#[xX]') THEN CASE WHEN length(hexa) <= 6 THEN CAST('0x' || lpad(hexa, 6, '0') AS BIGINT) END WHEN length(digits) <= 7 THEN CAST('0' || digits AS BIGINT) END AS code FROM (
+  SELECT r, i, piece, regexp_extract(piece, '^#[xX]0*([0-9a-fA-F]*)', 1) AS hexa, regexp_extract(piece, '^#0*([0-9]*)', 1) AS digits FROM (SELECT r, unnest(string_split(t, '&')) AS piece, generate_subscripts(string_split(t, '&'), 1) AS i FROM ({source}))))
+ LEFT JOIN (SELECT unnest({_quoted(html5)}) AS key, unnest({_quoted(html5.values())}) AS value) w ON w.key = name LEFT JOIN (SELECT unnest({_quoted(html5)}) AS key, unnest({_quoted(html5.values())}) AS value) b ON b.key = bare GROUP BY r"""
+
+
+_TAGS = r"""(?s)<[sS][cC][rR][iI][pP][tT]\b[^>]*>(.*?)</[sS][cC][rR][iI][pP][tT][\t-\r ]*>|<[sS][tT][yY][lL][eE]\b[^>]*>(.*?)</[sS][tT][yY][lL][eE][\t-\r ]*>|<!--.*?-->|<[/!?a-zA-Z](?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
+_SPACES = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_PAGES = "SELECT row_number() OVER () AS r, page_id, html FROM pages"
 
 
 @query("html_to_text", "page_id:l text:s", rf"""
-SELECT page_id, trim(regexp_replace({_DEC.replace("html2", "(" + _DEC + ")")}, '\s+', ' ', 'g')) AS text FROM (
- SELECT page_id, regexp_replace(html, '(?is)<script[^>]*>(.*?)</script\s*>|<style[^>]*>(.*?)</style\s*>|<!--.*?-->|<[/!?a-zA-Z][^>]*>', ' \1\2 ', 'g') AS html2 FROM pages)""")
+WITH numbered AS MATERIALIZED ({_PAGES}), decoded AS ({_decoded_sql(_decoded_sql(rf"SELECT r, regexp_replace(html, '{_TAGS}', ' \1\2 ', 'g') AS t FROM numbered"))})
+SELECT page_id, trim(regexp_replace(t, '{_SPACES}', ' ', 'g')) AS text FROM numbered LEFT JOIN decoded ON decoded.r = numbered.r""")
 def _(v):
     return spread(v.table("pages")).select("page_id", text.html_to_text("html").alias("text"))
 
