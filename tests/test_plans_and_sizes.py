@@ -57,3 +57,7 @@ def test_visible_text_equals_its_sql_on_odd_references(spark, tmp_path):
 def test_no_frame_of_the_observations_runs_to_the_end_of_a_history(spark):
     plan = _plan(JOBS["build_observations"](spark, SMALL)).toString()
     assert "unboundedfollowing" not in plan.lower() and plan.count("Join LeftOuter") <= 3
+
+
+def test_persistence_reads_its_inputs_before_the_last_step(spark):
+    assert "Relation [" not in _plan(JOBS["persistence_check"](spark, SMALL)).toString()
