@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tests.oracle import compare, connect
 from tidemark.catalog.all import JOBS, oracle_texts
 from tidemark.catalog.views import Views
+from tidemark.functions import text
 from tidemark.plans import hashtree
 
 SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
@@ -61,3 +62,15 @@ def test_no_frame_of_the_observations_runs_to_the_end_of_a_history(spark):
 
 def test_persistence_reads_its_inputs_before_the_last_step(spark):
     assert "Relation [" not in _plan(JOBS["persistence_check"](spark, SMALL)).toString()
+
+
+def test_guidance_reads_its_documents_once(spark):
+    plan = _plan(JOBS["guidance_extraction"](spark, SMALL)).toString()
+    assert plan.count("Relation [") == 1
+
+
+def test_conflicts_are_found_among_accepted_statements_of_one_document(spark):
+    say = "We expect fiscal year 2024 revenue of {} million USD to {} million USD."
+    rows = [(1, say.format(5, 9) + " " + say.format(5, 9)), (2, say.format(5, 9) + " " + say.format(6, 9)), (3, say.format(5, 9) + " " + say.format(9, 5)), (4, "Revenue was good. " + say.format(5, 9).upper())]
+    got = text.extract_guidance(spark.createDataFrame(rows, "k int, text string"))
+    assert sorted((r.k, r.verdict) for r in got.collect()) == [(1, "verified"), (1, "verified"), (2, "conflict"), (2, "conflict"), (3, "rejected"), (3, "verified"), (4, "verified")]

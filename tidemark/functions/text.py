@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 from html.entities import html5
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import canonical
@@ -60,9 +60,14 @@ def _decoded(piece: Column) -> Column:
             .when(bare != "", F.concat(F.try_element_at(names, bare), F.substring(piece, F.length(bare) + 2, F.length(piece)))).otherwise(piece))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is read; without it every reading would repeat the patterns."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unescape(col: Column) -> Column:
     """Decode numeric and named references in one pass over the pieces between ampersands, so nothing is decoded twice."""
-    return F.when(col.contains("&"), F.array_join(F.transform(F.split(col, "(?=&)"), _decoded), "")).otherwise(col)
+    return let(col, lambda c: F.when(c.contains("&"), F.array_join(F.transform(F.split(c, "(?=&)"), _decoded), "")).otherwise(c))
 
 
 def html_to_text(col) -> Column:
@@ -179,6 +184,8 @@ def extract_guidance(documents: DataFrame, text="text", key: list[str] | None =
     """
     key = key or [c for c in documents.columns if c != text]
     s = spread(documents).select(*key, F.explode(statements(F.col(text))).alias("statement"))
+    # A token that looks ahead stands in the text as it is, so statements without any such word need no tokens.
+    s = s.filter(F.col("statement").rlike(rf"(?i){'|'.join(OUTLOOK)}"))
     s = once(s, _x=lexed(F.col("statement"), QUANTITY))
     ahead = F.array(*[F.lit(w) for w in OUTLOOK])
     s = once(s.filter(F.arrays_overlap("_x.t", ahead)), _line=F.concat(F.lit(" "), F.array_join("_x.t", " "), F.lit(" ")))
@@ -196,9 +203,9 @@ def extract_guidance(documents: DataFrame, text="text", key: list[str] | None =
     ok = F.coalesce(F.col("_p").isNotNull() & F.col("_has") & same & named & middle, F.lit(False))
     out = s.select(*key, "statement", ok.alias("_ok"), F.col("_m.metric").alias("metric"), F.col("_m.definition").alias("definition"), F.col("_p.type").alias("period_type"), F.col("_p.year").alias("year"), F.col("_p.quarter").alias("quarter"),
                    F.col("_lo.value").alias("low"), F.col("_hi.value").alias("high"), F.col("_lo.unit").alias("unit"), F.col("_lo.currency").alias("currency"), F.col("_mid.value").alias("midpoint"))
-    out = out.withColumn("_g", canonical(*key, *COMPARABLE))
-    clash = (out.filter("_ok").groupBy("_g").agg(F.count_distinct("low", "high").alias("_n")).filter("_n > 1").select("_g", F.lit(True).alias("_clash")))
-    j = out.join(clash, "_g", "left").drop("_g")
+    # Accepted ranges have both ends, so two different ones differ in their least and greatest; the texts are read once.
+    near, ends = Window.partitionBy(canonical(*key, *COMPARABLE)), F.when(F.col("_ok"), F.struct("low", "high"))
+    j = out.withColumn("_clash", F.min(ends).over(near) != F.max(ends).over(near))
     return j.withColumn("verdict", F.when(~F.col("_ok"), "rejected").when(F.col("_clash"), "conflict").otherwise("verified")).drop("_ok", "_clash")
 
 
@@ -208,7 +215,6 @@ def guidance_view(observations: DataFrame, cutoff: Column, published="published_
     A publication whose copies disagree is dropped whole; identical copies count once. The labels overlap, so their
     order decides: reiterated, raised, lowered, narrowed, widened, changed.
     """
-    from pyspark.sql import Window
     rows = observations.filter((F.col("verdict") == "verified") & (F.col(published) <= cutoff))
     key = [issuer, *COMPARABLE]
     one = rows.groupBy(*key, published).agg(F.count_distinct("low", "high").alias("_n"), F.min("low").alias("low"), F.min("high").alias("high")).filter("_n = 1").drop("_n")
