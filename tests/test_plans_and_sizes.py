@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tests.oracle import compare, connect
+from tidemark import session
 from tidemark.catalog.all import JOBS, oracle_texts
 from tidemark.catalog.views import Views
 from tidemark.functions import text
@@ -74,3 +75,12 @@ def test_conflicts_are_found_among_accepted_statements_of_one_document(spark):
     rows = [(1, say.format(5, 9) + " " + say.format(5, 9)), (2, say.format(5, 9) + " " + say.format(6, 9)), (3, say.format(5, 9) + " " + say.format(9, 5)), (4, "Revenue was good. " + say.format(5, 9).upper())]
     got = text.extract_guidance(spark.createDataFrame(rows, "k int, text string"))
     assert sorted((r.k, r.verdict) for r in got.collect()) == [(1, "verified"), (1, "verified"), (2, "conflict"), (2, "conflict"), (3, "rejected"), (3, "verified"), (4, "verified")]
+
+
+def test_shuffles_are_as_wide_as_the_input_asks_for(spark, monkeypatch):
+    width = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    monkeypatch.setattr(session, "SHUFFLE_BYTES", 1 << 20)
+    JOBS["upsert_latest"](spark, LARGE)
+    assert int(spark.conf.get(width)) > 30
+    JOBS["upsert_latest"](spark, SMALL)
+    assert spark.conf.get(width, None) is None
