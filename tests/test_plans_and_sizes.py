@@ -84,3 +84,8 @@ def test_shuffles_are_as_wide_as_the_input_asks_for(spark, monkeypatch):
     assert int(spark.conf.get(width)) > 30
     JOBS["upsert_latest"](spark, SMALL)
     assert spark.conf.get(width, None) is None
+
+
+def test_records_are_dealt_out_once_and_their_markup_is_read_once(spark):
+    plan = _plan(JOBS["terminal_records"](spark, SMALL)).toString()
+    assert plan.count("<script") == 1 and plan.count("Repartition") == 1

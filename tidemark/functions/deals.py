@@ -79,7 +79,7 @@ def _distinct(a: Column) -> Column:
 
 
 def _day(c: Column) -> Column:
-    return F.coalesce(F.to_date(F.try_to_timestamp(c, F.lit("yyyy-MM-dd"))), F.to_date(F.try_to_timestamp(F.initcap(c), F.lit("MMMM d, yyyy"))))
+    return F.when(c.startswith("20"), F.to_date(F.try_to_timestamp(c, F.lit("yyyy-MM-dd")))).otherwise(F.to_date(F.try_to_timestamp(F.initcap(c), F.lit("MMMM d, yyyy"))))
 
 
 def _amount(c: Column) -> Column:
@@ -99,8 +99,12 @@ def nature(x: Column) -> Column:
 
 def terminal_terms(documents: DataFrame, text="text", target="target_id") -> DataFrame:
     """Merger or delisting terms, accepted only when every term has exactly one distinct value; else the reason why not."""
+    return _judged(spread(documents), text, target)
+
+
+def _judged(documents: DataFrame, text: str, target: str) -> DataFrame:
     x = F.col("_x")
-    d = once(spread(documents), _x=F.trim(F.regexp_replace(F.col(text), r"\s+", " ")))
+    d = once(documents, _x=F.trim(F.regexp_replace(F.col(text), r"\s+", " ")))
     cash = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(x, F.lit(CASH), F.lit(0)), _amount), lambda r: (r["amount"] > 0) & r["currency"].isNotNull()))
     ratios = _distinct(F.transform(F.regexp_extract_all(x, F.lit(STOCK), F.lit(1)), lambda n: F.replace(n, F.lit(",")).try_cast("double")))
     about = nature(x)
@@ -166,7 +170,7 @@ def terminal_records(records: DataFrame) -> DataFrame:
     r = r.withColumn("document_hashes", F.col("_hashes")).withColumn("record_hash", F.col("_hash")).withColumn("_before", before)
     # Only documents that count as evidence are read for terms.
     body = F.when(F.col("_before").isNull(), F.array_join(F.transform("documents", html_to_text), " "))
-    out = terminal_terms(r.select(*records.columns, "document_hashes", "_before", attributed.alias("_attributed"), body.alias("_text")).drop("documents"), text="_text")
+    out = _judged(r.select(*records.columns, "document_hashes", "_before", attributed.alias("_attributed"), body.alias("_text")).drop("documents"), "_text", "target_id")
     reason = F.coalesce("_before", "reason", F.when(~F.col("_attributed"), "ticker attribution"))
     ok = reason.isNull()
     terms = ("nature", "kind", "effective_on", "cash", "currency", "ratio", "successor_id", "supersedes")
