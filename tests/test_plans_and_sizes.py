@@ -8,6 +8,7 @@ from tidemark import session
 from tidemark.catalog.all import JOBS, oracle_texts
 from tidemark.catalog.views import Views
 from tidemark.functions import text
+from tidemark.operators import portfolio
 from tidemark.plans import hashtree
 
 SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
@@ -89,3 +90,20 @@ def test_shuffles_are_as_wide_as_the_input_asks_for(spark, monkeypatch):
 def test_records_are_dealt_out_once_and_their_markup_is_read_once(spark):
     plan = _plan(JOBS["terminal_records"](spark, SMALL)).toString()
     assert plan.count("<script") == 1 and plan.count("Repartition") == 1
+
+
+def test_walk_forward_reads_its_inputs_before_the_windows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(portfolio, "best_portfolio", lambda scored, *a, whole=portfolio.best_portfolio: seen.append(_plan(scored).toString()) or whole(scored, *a))
+    assert JOBS["portfolio_walk_forward"](spark, SMALL).count() == len(seen) > 0
+    assert not [p for p in seen if "Relation [" in p]
+
+
+def test_variances_of_slices_are_those_of_single_portfolios(spark, monkeypatch):
+    monkeypatch.setattr(portfolio, "SLICE", 2)
+    weights = spark.createDataFrame([(f"P{p}", s, float(10 * p + i)) for p in range(7) for i, s in enumerate("abc") if (p + i) % 4], "portfolio string, symbol string, weight double")
+    cov = spark.createDataFrame([("a", "a", 0.04), ("b", "b", 0.09), ("a", "b", 0.01), ("b", "a", 0.01), ("b", "c", None), ("c", "c", 0.16)], "left string, right string, cov double")
+    mu = spark.createDataFrame([(s, 0.1 * i) for i, s in enumerate("abc")], "symbol string, mu double")
+    plain = {r.portfolio: r.variance for r in portfolio.portfolio_variance(weights, cov, list("abc")).collect()}
+    got = {r.portfolio: r.variance for r in portfolio.score_portfolios(weights, mu, cov).collect()}
+    assert got.keys() == plain.keys() and all(abs(got[p] - plain[p]) < 1e-12 for p in plain)
