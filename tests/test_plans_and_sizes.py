@@ -9,7 +9,7 @@ from tidemark.catalog.all import JOBS, oracle_texts
 from tidemark.catalog.views import Views
 from tidemark.functions import text
 from tidemark.operators import portfolio
-from tidemark.plans import hashtree
+from tidemark.plans import hashtree, journals
 
 SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
@@ -107,3 +107,19 @@ def test_variances_of_slices_are_those_of_single_portfolios(spark, monkeypatch):
     plain = {r.portfolio: r.variance for r in portfolio.portfolio_variance(weights, cov, list("abc")).collect()}
     got = {r.portfolio: r.variance for r in portfolio.score_portfolios(weights, mu, cov).collect()}
     assert got.keys() == plain.keys() and all(abs(got[p] - plain[p]) < 1e-12 for p in plain)
+
+
+def test_promotion_reads_its_inputs_before_the_gates(spark):
+    assert "Relation [" not in _plan(JOBS["promotion_metrics"](spark, SMALL)).toString()
+
+
+def test_outcomes_store_the_histories_asked_for_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(journals, "reliable_checkpoint", lambda df, whole=journals.reliable_checkpoint: seen.append(whole(df)) or seen[-1])
+    views = Views(spark, SMALL)
+    asked = views.journal_days.where("symbol IN ('1', '2', 'none')")
+    out = journals.outcome_calendar_days(asked, views.hist)
+    assert {r.ticker for r in seen[0].select("ticker").distinct().collect()} == {"1", "2"}
+    assert "l_shipdate" not in _plan(out).toString()
+    monkeypatch.setattr(journals, "SENT_NAMES", 0)
+    assert sorted(map(str, journals.outcome_calendar_days(asked, views.hist).collect())) == sorted(map(str, out.collect()))
