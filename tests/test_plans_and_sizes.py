@@ -1,14 +1,15 @@
 """What plans cost: sizes the planner can judge, shared steps that are computed once, lists that stay short."""
 
 import duckdb
-from pyspark.sql import functions as F
+import pytest
+from pyspark.sql import Window, functions as F
 
 from tests.oracle import compare, connect
 from tidemark import session
 from tidemark.catalog.all import JOBS, oracle_texts
 from tidemark.catalog.views import Views
 from tidemark.functions import text
-from tidemark.operators import portfolio
+from tidemark.operators import frames, portfolio
 from tidemark.plans import hashtree, journals
 
 SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
@@ -123,3 +124,19 @@ def test_outcomes_store_the_histories_asked_for_once(spark, monkeypatch):
     assert "l_shipdate" not in _plan(out).toString()
     monkeypatch.setattr(journals, "SENT_NAMES", 0)
     assert sorted(map(str, journals.outcome_calendar_days(asked, views.hist).collect())) == sorted(map(str, out.collect()))
+
+
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_trailing_measures_equal_windows_bit_by_bit(spark, batch):
+    rows = [(k, i, None if (i * 5 + i // 7) % 11 < i % 3 else float((i * 7919 + 31) % 101) / 7) for k in ("a", "b", None) for i in range({"a": 60, "b": 1}.get(k, 25))]
+    table = spark.createDataFrame(rows, "ticker string, session_date int, x double")
+    measures = (("sd", "x", 21, frames._deviations), ("mean", "x", 5, frames._averages), ("top", "x", 13, frames._maxima), ("mid", "x", 8, frames._medians))
+    w = lambda n: Window.partitionBy("ticker").orderBy("session_date").rowsBetween(1 - n, 0)
+    want = frames.rolling_medians(table.withColumn("sd", F.stddev_samp("x").over(w(21))).withColumn("mean", F.avg("x").over(w(5))).withColumn("top", F.max("x").over(w(13))), "x", {"mid": (-7, 0)})
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(size)
+    spark.conf.set(size, batch)
+    try:
+        assert sorted(map(str, frames.trailing(table, measures).collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.set(size, held)
