@@ -9,7 +9,7 @@ from tidemark import session
 from tidemark.catalog.all import JOBS, oracle_texts
 from tidemark.catalog.views import Views
 from tidemark.functions import text
-from tidemark.operators import frames, portfolio
+from tidemark.operators import frames, portfolio, scores
 from tidemark.plans import hashtree, journals
 
 SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
@@ -140,3 +140,17 @@ def test_trailing_measures_equal_windows_bit_by_bit(spark, batch):
         assert sorted(map(str, frames.trailing(table, measures).collect())) == sorted(map(str, want.collect()))
     finally:
         spark.conf.set(size, held)
+
+
+def test_features_and_their_drift_go_through_each_row_once(spark):
+    plan = _plan(JOBS["features"](spark, SMALL)).toString()
+    assert "collect_list" not in plan and "stddev_samp" not in plan
+    assert "Relation [" not in _plan(JOBS["feature_drift"](spark, SMALL)).toString()
+
+
+def test_drift_without_a_baseline_is_unknown(spark):
+    table = spark.createDataFrame([(d, float(d), None) for d in range(5)], "session_date int, x double, y double")
+    got = {r.feature: r for r in scores.feature_drift(table, ["x", "y"], 5).collect()}
+    assert {f: r.severity for f, r in got.items()} == {"x": "unknown", "y": "unknown"}
+    r = {r.feature: r for r in scores.feature_drift(table, ["x", "y"], 2).collect()}
+    assert (r["x"].baseline_mean, r["x"].recent_mean, r["x"].shift, r["y"].severity) == (1.0, 3.5, 2.5, "unknown")
