@@ -79,38 +79,33 @@ MOVER_TYPES = ("CS", "ADRC", "ADRP", "GDR")
 
 
 def daily_movers(bars: DataFrame, bench: DataFrame, refs: DataFrame, causes: DataFrame, min_price=policy.MIN_PRICE,
-                 min_volume=policy.MIN_MEDIAN_DOLLAR_VOLUME, min_sessions=policy.MIN_PRIOR_SESSIONS, shortlist_size: int = 500,
+                 min_volume=policy.MIN_MEDIAN_DOLLAR_VOLUME, min_sessions=policy.MIN_PRIOR_SESSIONS,
                  per_direction: int = 4, lookback: int = 160) -> DataFrame:
     """Largest benchmark-relative moves of the newest session that pass identity and liquidity screens.
 
-    The window of sessions is found on the calendar first, so only its bars are read; histories are measured for the
-    shortlist alone. A cause is attached only when it is verified and names a source.
+    The window of sessions is found on the calendar first, so only its bars are read. Every move of the newest session meets
+    every screen; only those that pass are ranked. A cause is attached only when it is verified and names a source.
 
-    The numbered calendar and the shortlist are small and read in several places: each is computed once and cut off from
-    its lineage, else every place repeats it with joins of its own, and the driver holds all their broadcasts at a time.
-    References and causes are cut to the shortlist before they are matched.
+    The numbered calendar is small and read in several places: it is computed once and cut off from its lineage, else every
+    place repeats it with joins of its own, and the driver holds all their broadcasts at a time.
     """
     pos = reliable_checkpoint(bench.join(calendar_ordinal(bench), "session_date"))
     newest = pos.agg(F.max("ordinal")).scalar()
     level = pos.filter(F.col("ordinal") >= newest - lookback)
-    recent = bars.join(F.broadcast(level), "session_date")
-    moves = prior_bar(recent).filter((F.col("ordinal") == newest) & (F.col("close") >= min_price) & (F.col("prior_close") > 0))
+    # Measures and prior bars share one partitioning, so all histories cost one shuffle; a row per security leaves it.
+    recent = prior_bar(frames.mover_features(bars.join(F.broadcast(level), "session_date")))
+    moves = recent.filter((F.col("ordinal") == newest) & (F.col("close") >= min_price) & (F.col("prior_close") > 0)
+                          & (F.col("prior_rows") >= min_sessions) & (F.col("median_dollar_volume") >= min_volume))
     before = level.select(F.col("session_date").alias("prior_date"), F.col("bench_close").alias("prior_bench"), F.col("ordinal").alias("prior_ordinal"))
     moves = moves.join(F.broadcast(before), "prior_date")
     moves = (moves.withColumn("move", F.col("close") / F.col("prior_close") - 1)
              .withColumn("benchmark_move", F.col("bench_close") / F.col("prior_bench") - 1)
              .withColumn("relative_move", F.col("move") - F.col("benchmark_move"))
              .withColumn("skipped_sessions", F.col("ordinal") - F.col("prior_ordinal") - 1))
-    top = reliable_checkpoint(moves.orderBy(F.desc(F.abs("relative_move")), "ticker").limit(shortlist_size))
-    listed = F.broadcast(top.select("ticker").distinct())
-    measured = frames.mover_features(recent.join(listed, "ticker", "left_semi"))
-    cols = ["prior_rows", "return_5d", "return_20d", "median_dollar_volume", "volume_build", "log_volatility", "volume_multiple"]
-    rows = top.join(measured.select("ticker", "session_date", *cols), ["ticker", "session_date"])
-    rows = asof_join(rows, refs.join(listed, "ticker", "left_semi"), "ticker", "session_date", "snapshot_date", ["active", "raw_type", "snapshot_date"], tie=["active"])
-    rows = rows.filter(F.col("active") & F.col("raw_type").isin(*MOVER_TYPES) & (F.col("prior_rows") >= min_sessions)
-                       & (F.col("median_dollar_volume") >= min_volume) & (F.col("relative_move") != 0))
-    good = causes.filter((F.col("status") == "verified") & (F.col("source") != "") & (F.col("url") != ""))
-    good = good.join(F.broadcast(top.select("ticker", "session_date")), ["ticker", "session_date"], "left_semi")
+    rows = asof_join(moves.filter(F.col("relative_move") != 0), refs, "ticker", "session_date", "snapshot_date", ["active", "raw_type", "snapshot_date"], tie=["active"])
+    rows = rows.filter(F.col("active") & F.col("raw_type").isin(*MOVER_TYPES))
+    last_day = pos.agg(F.max("session_date")).scalar()
+    good = causes.filter((F.col("session_date") == last_day) & (F.col("status") == "verified") & (F.col("source") != "") & (F.col("url") != ""))
     rows = rows.join(good.select("ticker", "session_date", F.col("cause")), ["ticker", "session_date"], "left")
     rows = rows.withColumn("direction", F.when(F.col("relative_move") > 0, "up").otherwise("down"))
     side = Window.partitionBy("direction").orderBy(F.desc(F.abs("relative_move")), "ticker")
