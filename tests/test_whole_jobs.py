@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.oracle import compare, connect
 from tidemark.catalog.all import JOBS, oracle_texts
+from tidemark.operators import events, scores
 from tidemark.plans import radar
 
 SMALL = "/root/testdata/sf0.001"
@@ -21,3 +22,20 @@ def test_a_mover_behind_hundreds_of_refused_ones_is_found(spark):
         "session_date", F.lit("2024-01-30").cast("date"))
     got = radar.daily_movers(bars, bench, refs, causes, min_sessions=20).orderBy("rank").collect()
     assert [(r.ticker, r.rank, r.direction, r.cause) for r in got] == [("600", 1, "up", None), ("601", 2, "up", "why")]
+
+
+def test_event_windows_carry_the_interval_and_the_cost_check(spark):
+    got = JOBS["event_window_stats"](spark, SMALL)
+    assert {"lower95", "upper95", "beats_costs"} <= set(got.columns)
+    assert compare(got, connect(SMALL), oracle_texts()["event_window_stats"]) is None
+    steady = spark.createDataFrame([(-1, 1, f"2024-01-{1 + i % 25:02}", 2.0 + i % 3) for i in range(120)] + [(0, 1, "2024-01-01", 9.0)],
+                                   "entry_offset int, exit_offset int, reaction_date string, excess double")
+    many, few = events.event_window_stats(steady).orderBy("entry_offset").collect()
+    assert many.beats_costs and 2 <= many.lower95 <= many.mean_excess <= many.upper95 <= 4
+    assert (few.sufficient, few.lower95, few.upper95, few.beats_costs) == (False, None, None, False)
+
+
+def test_digests_of_the_bootstrap_are_taken_once(spark):
+    rows = spark.range(40).select((F.col("id") % 10).alias("day"), (F.col("id") % 2).alias("g"), "id")
+    plan = scores.cluster_bootstrap(rows, "day", F.col("id"), F.lit(1), by=["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
