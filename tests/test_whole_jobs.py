@@ -39,3 +39,10 @@ def test_digests_of_the_bootstrap_are_taken_once(spark):
     rows = spark.range(40).select((F.col("id") % 10).alias("day"), (F.col("id") % 2).alias("g"), "id")
     plan = scores.cluster_bootstrap(rows, "day", F.col("id"), F.lit(1), by=["g"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("md5(") == 1
+
+
+def test_promotion_carries_the_bound_and_the_failed_gates(spark):
+    got = JOBS["promotion_metrics"](spark, SMALL)
+    assert {"precision_lower95", "gates"} <= set(got.columns)
+    assert compare(got, connect(SMALL), oracle_texts()["promotion_metrics"]) is None
+    assert got.first().gates.endswith("incident review;risk review")
