@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tests.oracle import compare, connect
 from tidemark.catalog.all import JOBS, oracle_texts
 from tidemark.operators import events, scores
-from tidemark.plans import radar
+from tidemark.plans import radar, research
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -46,3 +46,16 @@ def test_promotion_carries_the_bound_and_the_failed_gates(spark):
     assert {"precision_lower95", "gates"} <= set(got.columns)
     assert compare(got, connect(SMALL), oracle_texts()["promotion_metrics"]) is None
     assert got.first().gates.endswith("incident review;risk review")
+
+
+def test_model_risk_names_an_empty_archive_and_measures_the_research_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(d, float(d % 2) + (9.0 if d > 19 else 0.0)) for d in range(41)], "session_date int, x double")
+    said = rows.select("session_date", F.lit(0.5).alias("p"), (F.col("session_date") % 2).alias("label"))
+    got = {(r.source, r.subject): r for r in research.model_risk_events(rows.limit(0), rows, said, ["x"]).collect()}
+    assert {k: r.severity for k, r in got.items()} == {("archive", "coverage"): "serious", ("feature", "x"): "serious", ("forecast", "p"): "constant"}
+    assert got["feature", "x"].baseline_mean == 0.5 and got["feature", "x"].recent_mean > 9
+    assert ("archive", "coverage") not in {(r.source, r.subject) for r in research.model_risk_events(rows, rows, said, ["x"]).collect()}
+    seen = []
+    monkeypatch.setattr(research, "model_risk_events", lambda *a, whole=research.model_risk_events: seen.append(a) or whole(*a))
+    assert JOBS["model_risk_events"](spark, SMALL).columns == ["source", "subject", "baseline_mean", "recent_mean", "shift", "severity"]
+    assert "excess_return" in seen[0][1].columns  # rows with an outcome, not every session that has features
