@@ -10,7 +10,7 @@ from tidemark.catalog.all import JOBS, oracle_texts
 from tidemark.catalog.views import Views
 from tidemark.functions import text
 from tidemark.operators import frames, portfolio, scores
-from tidemark.plans import hashtree, journals
+from tidemark.plans import hashtree, journals, research
 
 SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 
@@ -154,3 +154,16 @@ def test_drift_without_a_baseline_is_unknown(spark):
     assert {f: r.severity for f, r in got.items()} == {"x": "unknown", "y": "unknown"}
     r = {r.feature: r for r in scores.feature_drift(table, ["x", "y"], 2).collect()}
     assert (r["x"].baseline_mean, r["x"].recent_mean, r["x"].shift, r["y"].severity) == (1.0, 3.5, 2.5, "unknown")
+
+
+def test_experiments_compute_their_rows_before_folds_and_fits(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(research, "walk_forward_folds", lambda rows, *a, whole=research.walk_forward_folds: seen.append(_plan(rows).toString()) or whole(rows, *a))
+    monkeypatch.setattr(research, "calibration_part", lambda rows, *a, whole=research.calibration_part: seen.append(_plan(rows).toString()) or whole(rows, *a))
+    JOBS["logistic_challenger"](spark, SMALL)
+    assert seen and not [p for p in seen if "Relation [" in p or "l_shipdate" in p]
+    days, later = (spark.range(400).select((F.col("id") % 40 + d).alias("session_date"), (F.col("id") % 10).cast("string").alias("ticker"), (F.col("id") % 40 + d + 1).alias("exit_date"),
+                                           (F.col("id") % 3 == 0).cast("int").alias("big_move"), F.sin(F.col("id").cast("double")).alias("x")) for d in (0, 5))
+    del seen[:]
+    got = research.shadow_session(days, later, features=["x"])
+    assert got.count() == 10 and "Range" not in seen[0]
