@@ -85,38 +85,47 @@ def build_index(vectors: DataFrame, id_column: str = "vec_id", column: str = "em
     return rows.mapInArrow(codes, "id long, v array<float>, code binary, radius double, align double"), centre, turn
 
 
-def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Euclidean distances of paired rows in double precision, squares added in the order of the components."""
-    total = np.zeros(len(x))
-    for j in range(x.shape[1]):
-        diff = x[:, j].astype(np.float64) - q[:, j].astype(np.float64)
-        total += diff * diff
+def exact(columns: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows, given as one double array per component, to one query; squares added in the order of the components."""
+    total, diff = np.zeros(columns.shape[1]), np.empty(columns.shape[1])
+    for column, value in zip(columns, q.astype(np.float64)):
+        np.subtract(column, value, out=diff)
+        diff *= diff
+        total += diff
     return np.sqrt(total)
 
 
-def search_block(ids, x, code, radius, align, query_ids, q, centre, turn, k):
-    """The k nearest found of one block for every query: (query row, candidate row, distance)."""
-    d = x.shape[1]
+def search_block(ids, x, code, radius, align, query_ids, q, centre, turn, k, at_once=64):
+    """The k nearest found of one block for every query: (query row, candidate row, distance). Estimates are made for ``at_once`` queries at a
+    time; the candidates of a query are then ranked alone."""
+    d, n = x.shape[1], len(ids)
     qdiff = q.astype(np.float64) - centre
     qr = np.linalg.norm(qdiff, axis=1)
     qunit = ((qdiff / np.maximum(qr, 1e-300)[:, None]) @ turn).astype(np.float32)
     signs = np.unpackbits(code, axis=1, count=d).astype(np.float32) * 2 - 1
-    inner = (qunit @ signs.T).astype(np.float64) / np.sqrt(d) / align
     error = EPSILON * np.sqrt(np.maximum(1 - align ** 2, 0)) / align / np.sqrt(max(d - 1, 1))
-    base, cross = qr[:, None] ** 2 + radius ** 2, 2 * qr[:, None] * radius
-    slack = 1e-6 * base
-    low, high = base - cross * np.minimum(inner + error, 1) - slack, base - cross * np.maximum(inner - error, -1) + slack
-    own = query_ids[:, None] == ids
-    high[own] = np.inf
-    kth = np.partition(high, min(k, high.shape[1]) - 1, axis=1)[:, min(k, high.shape[1]) - 1]
-    qi, ci = np.nonzero((low <= kth[:, None]) & ~own)
-    dist = np.empty(len(qi))
-    for a in range(0, len(qi), 1 << 16):
-        dist[a:a + (1 << 16)] = exact(x[ci[a:a + (1 << 16)]], q[qi[a:a + (1 << 16)]])
-    order = np.lexsort((ids[ci], dist, qi))
-    qi, ci, dist = qi[order], ci[order], dist[order]
-    rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
-    return qi[rank < k], ci[rank < k], dist[rank < k]
+    columns = np.ascontiguousarray(x.T, dtype=np.float64)
+    out = []
+    for a in range(0, len(q), at_once):
+        part = slice(a, a + at_once)
+        inner = (qunit[part] @ signs.T).astype(np.float64) / np.sqrt(d) / align
+        base, cross = qr[part, None] ** 2 + radius ** 2, 2 * qr[part, None] * radius
+        slack = 1e-6 * base
+        low, high = base - cross * np.minimum(inner + error, 1) - slack, base - cross * np.maximum(inner - error, -1) + slack
+        own = query_ids[part, None] == ids
+        high[own] = np.inf
+        kth = np.partition(high, min(k, n) - 1, axis=1)[:, min(k, n) - 1]
+        possible = (low <= kth[:, None]) & ~own
+        for i in range(len(kth)):
+            at = np.flatnonzero(possible[i])
+            # Where most rows are candidates, measuring all of them is cheaper than picking their components out.
+            dist = exact(columns, q[a + i])[at] if 2 * len(at) > n else exact(columns[:, at], q[a + i])
+            if len(at) > k:
+                near = dist <= np.partition(dist, k - 1)[k - 1]
+                at, dist = at[near], dist[near]
+            order = np.lexsort((ids[at], dist))[:k]
+            out.append((np.full(len(order), a + i), at[order], dist[order]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _packed(rows: DataFrame, blocks: int, key: str, columns: list[str], d: int) -> DataFrame:
@@ -152,9 +161,8 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_column: str = "vec_id",
                 code = np.frombuffer(row["code"], np.uint8).reshape(len(ids), -1)
                 radius, align = np.frombuffer(row["radius"]), np.frombuffer(row["align"])
                 query_ids, q = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["query_vectors"], np.float32).reshape(-1, d)
-                for a in range(0, len(query_ids), 64):  # bounds the block of estimates
-                    qi, ci, dist = search_block(ids, x, code, radius, align, query_ids[a:a + 64], q[a:a + 64], centre, turn, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[a:a + 64][qi]), pa.array(ids[ci]), pa.array(dist)], ["query_id", "vec_id", "score"])
+                qi, ci, dist = search_block(ids, x, code, radius, align, query_ids, q, centre, turn, k)
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[qi]), pa.array(ids[ci]), pa.array(dist)], ["query_id", "vec_id", "score"])
     found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
